@@ -5,7 +5,7 @@ log-odds), proximity of second-person words to lexicon hits, capitals, punctuati
 characters, letters set apart, masked letters), and lengths. The trees (histogram splits, logistic loss) and the
 isotonic map are fitted here; lexicon features and calibration are cross-fitted, so neither sees its own rows' labels.
 
-Training rows are a bounded sample: per class the SAMPLE labelled rows with the least hash of doc_id, weighted back
+Training rows are a bounded sample, whose texts stay on the executors: per class the SAMPLE labelled rows with the least hash of doc_id, weighted back
 to the classes' shares. Rows with a null label or text are left out; a doc_id with several labels counts as toxic if
 one says so. With no rows of one class, every score is the share of toxic labels (0 without labels).
 
@@ -25,7 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Training rows of each class at most; the model is fitted on the driver.
+from tidefold.llm.common import staged
+
+#: Training rows of each class at most; the trees are fitted on the driver, from one short vector a row.
 SAMPLE = 3000
 #: Prefix lengths, the least number of toxic documents with a lexicon entry, and the least log-odds.
 PREFIXES, LEAST_DOCS, LEAST_ODDS = (3, 4, 5, 6, 7), 4, 1.0
@@ -65,19 +67,12 @@ def evidence(text: str) -> set[str]:
     return out
 
 
-def lexicon(texts: list[set[str]], labels: np.ndarray) -> dict[str, float]:
-    """Log-odds of the entries that toxic documents have more often."""
-    toxic, clean = Counter(), Counter()
-    for found, y in zip(texts, labels):
-        if y:
-            toxic.update(found)
-    wanted = {t for t, n in toxic.items() if n >= LEAST_DOCS}
-    for found, y in zip(texts, labels):
-        if not y:
-            clean.update(found & wanted)
-    n1, n0 = int(labels.sum()), int(len(labels) - labels.sum())
-    odds = {t: math.log((toxic[t] + 0.5) / (n1 + 1)) - math.log((clean[t] + 0.5) / (n0 + 1)) for t in wanted}
-    return {t: v for t, v in odds.items() if v >= LEAST_ODDS}
+def lexicon(toxic: dict[str, np.ndarray], clean: dict[str, np.ndarray], n_toxic: np.ndarray, n_clean: np.ndarray, out: int | None) -> dict[str, float]:
+    """Log-odds of the entries that toxic documents have more often. Counts of documents are by fold; fold `out` is left out."""
+    part = (lambda v: v.sum()) if out is None else (lambda v: v.sum() - v[out])
+    t, c, none = part(n_toxic) + 1, part(n_clean) + 1, np.zeros(FOLDS)
+    odds = {x: math.log((part(n) + 0.5) / t) - math.log((part(clean.get(x, none)) + 0.5) / c) for x, n in toxic.items() if part(n) >= LEAST_DOCS}
+    return {x: v for x, v in odds.items() if v >= LEAST_ODDS}
 
 
 class Featurizer:
@@ -213,24 +208,15 @@ class Model:
         return np.clip(np.interp(m, self.at, self.rate) * (1 - 1e-6) + 1e-6 / (1 + np.exp(-m)), 0, 1)
 
 
-def fit(texts: list[str], labels: list[int], weights: list[float]) -> Model:
-    y, w = np.array(labels, dtype=float), np.array(weights, dtype=float)
-    if not len(y) or y.min() == y.max():
-        return Model({}, None, np.zeros(1), np.zeros(1), float(y.mean()) if len(y) else 0.0)
-    found = [evidence(t) for t in texts]
-    fold = np.arange(len(y)) % FOLDS
-    x = np.zeros((len(y), len(FEATURES)))
-    for k in range(FOLDS):
-        out = fold == k
-        lex = Featurizer(lexicon([f for f, o in zip(found, out) if not o], y[~out]))
-        x[out] = [lex(t) for t, o in zip(texts, out) if o]
+def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray, fold: np.ndarray, entries: dict[str, float]) -> Model:
+    """Trees over all rows, calibrated by margins that each fold gets from trees without it."""
     margin = np.zeros(len(y))
     for k in range(FOLDS):
         out = fold == k
-        if out.any() and y[~out].min() < y[~out].max():
+        if out.any() and (~out).any() and y[~out].min() < y[~out].max():
             margin[out] = Trees().fit(x[~out], y[~out], w[~out]).margin(x[out])
     at, rate = isotonic(margin, y, w)
-    return Model(lexicon(found, y), Trees().fit(x, y, w), at, rate)
+    return Model(entries, Trees().fit(x, y, w), at, rate)
 
 
 def _fold():
@@ -244,12 +230,49 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.filter("toxic = 1").orderBy(*order).limit(sample).unionByName(known.filter("toxic = 0").orderBy(*order).limit(sample))
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    import hashlib
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = staged(rows.select("doc_id", "toxic", "text", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-sample")
+    have: dict[int, np.ndarray] = {0: np.zeros(FOLDS), 1: np.zeros(FOLDS)}
+    for r in rows.groupBy("toxic", "fold").count().collect():
+        have[r["toxic"]][r["fold"]] = r["count"]
+    n = have[0].sum() + have[1].sum()
+    if not have[0].sum() or not have[1].sum():
+        return Model({}, None, np.zeros(1), np.zeros(1), float(have[1].sum() / n) if n else 0.0)
+    sc = docs.sparkSession.sparkContext
+    toxic = _by_fold(rows.filter("toxic = 1"), None, LEAST_DOCS)
+    clean = _by_fold(rows.filter("toxic = 0"), sc.broadcast(frozenset(toxic)), 1)
+    parts = [lexicon(toxic, clean, have[1], have[0], k) for k in range(FOLDS)]
+    held = sc.broadcast(parts)
+
+    def featurized(batches):
+        made = [Featurizer(lex) for lex in held.value]
+        for batch in batches:
+            x = [made[k](t) for k, t in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("toxic"), batch.column("fold"), pa.array(x, pa.list_(pa.float64()))], ["key", "toxic", "fold", "x"])
 
-    rows = sorted(rows, key=lambda r: hashlib.sha1(str(r["doc_id"]).encode()).digest())
-    have = Counter(r["toxic"] for r in rows)
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], [share[r["toxic"]] / have[r["toxic"]] * len(rows) / max(sum(share.values()), 1) for r in rows])
+    keyed = rows.select(F.md5(F.col("doc_id").cast("string")).alias("key"), F.col("toxic").cast("int").alias("toxic"), "fold", "text")
+    matrix = sorted(keyed.mapInArrow(featurized, "key string, toxic int, fold int, x array<double>").collect(), key=lambda r: r["key"])
+    weight = {k: share[k] / have[k].sum() * n / sum(share.values()) for k in have}
+    y = np.array([r["toxic"] for r in matrix], dtype=float)
+    return fit(np.array([r["x"] for r in matrix]), y, np.array([weight[int(v)] for v in y]), np.array([r["fold"] for r in matrix]), lexicon(toxic, clean, have[1], have[0], None))
+
+
+def _by_fold(rows: DataFrame, wanted, least: int) -> dict[str, np.ndarray]:
+    """Documents with each lexicon entry, by fold; only entries of at least `least` documents come to the driver."""
+
+    def count(batches):
+        only = None if wanted is None else wanted.value
+        seen: Counter = Counter()
+        for batch in batches:
+            for fold, text in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist()):
+                found = evidence(text)
+                seen.update((e, fold) for e in (found if only is None else found & only))
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in keys], pa.string()), pa.array([f for _, f in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["entry", "fold", "n"])
+
+    counts = rows.select("fold", "text").mapInArrow(count, "entry string, fold int, n long")
+    sums = counts.groupBy("entry").agg(*(F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("n"))), F.lit(0)).alias(f"f{k}") for k in range(FOLDS)))
+    return {r["entry"]: np.array(r[1:], dtype=float) for r in sums.filter(sum(F.col(f"f{k}") for k in range(FOLDS)) >= least).collect()}
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
