@@ -196,6 +196,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """docs less all but one document of each component: the one with the smallest doc_id stays, once. Null doc_ids stay."""
     fps = simhash(docs, radius).filter(F.col("doc_id").isNotNull()).select("doc_id", "component_id")
     keep = staged(fps.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count(), "simhash-kept")
-    once = docs.join(keep.filter("count = 1").select("doc_id"), "doc_id", "left_semi")
+    # merge joins at every size: the survivors' ids grow with the corpus and are never broadcast
+    once = docs.join(keep.filter("count = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     more = docs.join(keep.filter("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(more).unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
