@@ -99,20 +99,26 @@ def disclosing(texts: DataFrame, ctx: DataFrame, min_support: int = MIN_SUPPORT,
     """ent, term, df_ct, df_c, df_t, pmi, ic: the pairs whose term reveals the entity."""
     row = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("h"))
     pairs = ctx.groupBy("ent", "term").agg(F.countDistinct(row).alias("df_ct"), F.countDistinct("ctx").alias("n_ctx"))
-    pairs = staged(pairs.filter((F.col("df_ct") >= min_support) & (F.col("n_ctx") >= min_support)), "pii-pairs")
+    pairs = pairs.filter((F.col("df_ct") >= min_support) & (F.col("n_ctx") >= min_support))
     ents = ctx.groupBy("ent").agg(F.countDistinct(row).alias("df_c")).select(own_key("ent").alias("ent2"), "df_c")
-    terms = pairs.select("term").distinct()
-    n_terms, n = terms.count(), texts.count()
+    seen = ctx.groupBy("term").agg(F.countDistinct(row).alias("seen")).select(own_key("term").alias("term2"), "seen")
+    n = texts.count()
+    log = lambda x: F.log(x.cast("double"))
+    log_n = F.log(F.lit(float(max(n, 1))))
+    ic = log_n - log(F.col("df_c"))
+    pmi = lambda df_t: log(F.col("df_ct")) + log_n - log(F.col("df_c")) - log(F.col(df_t))
+    known = pairs.join(ents, pairs["ent"] == ents["ent2"]).drop("ent2")
+    known = known.join(seen, known["term"] == seen["term2"]).drop("term2")
+    # a term occurs in at least the documents in whose contexts it was seen, so this bound on the PMI loses no pair
+    known = staged(known.filter((ic > 0) & (pmi("seen") >= disclosure * ic)).drop("seen"), "pii-pairs")
+    terms = known.select("term").distinct()
+    n_terms = terms.count()
     words = F.array_distinct(F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     held = texts.select(F.explode(words).alias("term")) if n_terms else texts.select(F.lit("").alias("term")).limit(0)
     held = held.join(F.broadcast(terms), "term", "left_semi") if n_terms <= BROADCAST_TERMS else held
     df_t = held.groupBy("term").count().select(own_key("term").alias("term2"), F.col("count").alias("df_t"))
-    known = pairs.join(ents, pairs["ent"] == ents["ent2"]).drop("ent2")
     known = known.join(df_t, known["term"] == df_t["term2"]).drop("term2")
-    log = lambda x: F.log(x.cast("double"))
-    pmi = log(F.col("df_ct")) + F.log(F.lit(float(max(n, 1)))) - log(F.col("df_c")) - log(F.col("df_t"))
-    ic = F.log(F.lit(float(max(n, 1)))) - log(F.col("df_c"))
-    return known.withColumns({"pmi": pmi, "ic": ic}).filter((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic")))
+    return known.withColumns({"pmi": pmi("df_t"), "ic": ic}).filter(F.col("pmi") >= disclosure * F.col("ic"))
 
 
 def term_spans(docs: DataFrame) -> DataFrame:
