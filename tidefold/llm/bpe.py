@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of pieces in one recursive query, encodings a worker remembers, and tokens in one decoding query.
-CHUNK_BYTES, MEMO, DECODE_TOKENS = 500_000, 600_000, 2_000_000
+CHUNK_BYTES, MEMO, DECODE_TOKENS = 500_000, 400_000, 1_000_000
 
 #: A row's key is word << 32 | position, so that one ordering serves all words; a merge's is left << 20 | right.
 _ENCODE = """
@@ -66,7 +66,7 @@ class Codec:
 
         self.ranks = ranks_of(data)
         self.find = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         ab, r = array("q"), array("i")
         get = self.ranks.get
         for token, rank in self.ranks.items():
@@ -171,7 +171,7 @@ def codec(data: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-_SLICE_CHARS = 4_000_000
+_SLICE_CHARS = 2_000_000
 
 
 def _slices(texts: list[str]):

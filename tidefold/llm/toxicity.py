@@ -85,7 +85,7 @@ class Featurizer:
             word, lex = plain(raw), self.lexicon
             w = lex.get("w" + word, 0.0)
             p = max((lex.get(f"p{word[:n]}", 0.0) for n in PREFIXES if len(word) > n), default=0.0)
-            if len(self.memo) > 300_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             got = self.memo[raw] = (w, p, w > 0 and word != raw)
         return got
@@ -263,12 +263,19 @@ def _by_fold(rows: DataFrame, wanted, least: int) -> dict[str, np.ndarray]:
     def count(batches):
         only = None if wanted is None else wanted.value
         seen: Counter = Counter()
+
+        def told():
+            keys = list(seen)
+            return pa.RecordBatch.from_arrays([pa.array([e for e, _ in keys], pa.string()), pa.array([f for _, f in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["entry", "fold", "n"])
+
         for batch in batches:
             for fold, text in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist()):
                 found = evidence(text)
                 seen.update((e, fold) for e in (found if only is None else found & only))
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in keys], pa.string()), pa.array([f for _, f in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["entry", "fold", "n"])
+                if len(seen) > 200_000:  # partial counts go on to the shuffle
+                    yield told()
+                    seen.clear()
+        yield told()
 
     counts = rows.select("fold", "text").mapInArrow(count, "entry string, fold int, n long")
     sums = counts.groupBy("entry").agg(*(F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("n"))), F.lit(0)).alias(f"f{k}") for k in range(FOLDS)))
