@@ -52,7 +52,8 @@ SPELLINGS = (
 
 #: A line with one of these, in any case, is looked up by itself.
 NOTICE = ("licen", "reserved", "creative commons", "cc0", "public domain", "permission is hereby", "permission to use")
-_COPYRIGHT_LINE = r"(?m)^[^\p{L}\n]*(?:copyright\b|\(c\)).*$"
+#: A holder's line, not a wrapped sentence that happens to start with the word.
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\n]*(?:copyright[ \t]*(?:\(c\)|[0-9]{4}|by\b|:)|\(c\)).*$"
 
 
 def _speaks(lowered: Column) -> Column:
@@ -66,7 +67,7 @@ def canonical(text: Column) -> Column:
     out = F.lower(text)
     for pattern, replacement in SPELLINGS:
         out = F.replace(out, F.lit(pattern), F.lit(replacement))
-    out = F.when(F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("(c)")), F.regexp_replace(out, _COPYRIGHT_LINE, " ")).otherwise(out)
+    out = F.when(F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("(c)")), F.regexp_replace(out, COPYRIGHT_LINE, " ")).otherwise(out)
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 

@@ -114,7 +114,7 @@ def _canonical_sql(text: str) -> str:
     out = f"lower({text})"
     for literal, replacement in license.SPELLINGS:
         out = f"replace({out}, '{literal}', '{replacement}')"
-    out = rf"regexp_replace({out}, '(?m)^[^\p{{L}}\n]*(?:copyright\b|\(c\)).*$', ' ', 'g')"
+    out = f"regexp_replace({out}, '{license.COPYRIGHT_LINE}', ' ', 'g')"
     out = rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     return f"(CASE WHEN {out} <> '' THEN sha256({out}) END)"
 
