@@ -1,6 +1,6 @@
 """Replicated sequences, trees and documents.
 
-Order inside one document is sequential by definition, so a document is one group of an Arrow-batched function; work
+Order inside one document is sequential by definition, so a document is one unit of an Arrow-batched function; work
 spreads over documents. All walks use explicit stacks, so long append chains are fine.
 """
 
@@ -51,18 +51,39 @@ def rga_order(ops: list[dict]) -> list[tuple]:
     return out
 
 
+def _by_document(ops: DataFrame, work, schema: str) -> DataFrame:
+    """work(doc, rows) for each document, whose rows come together: dealt by document, sorted, streamed. Holds one document at a time and costs no call for each."""
+
+    def run(batches):
+        doc, held, out = None, [], []
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if held and r.doc != doc:
+                    out += work(doc, held)
+                    held = []
+                    if len(out) > 20_000:
+                        yield pd.DataFrame(out, columns=_ORDERED)
+                        out = []
+                doc = r.doc
+                held.append(r)
+        if held:
+            out += work(doc, held)
+        yield pd.DataFrame(out, columns=_ORDERED)
+
+    return ops.repartition("doc").sortWithinPartitions("doc").mapInPandas(run, schema)
+
+
+_ORDERED = ["doc", "pos", "value", "visible"]
+
+
 def rga_materialize(ops: DataFrame) -> DataFrame:
     """doc, pos, value, visible from ops (doc, kind, lamport, replica, seq, after_lamport, after_replica, after_seq, value)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [
-            {"kind": r.kind, "id": _key((r.lamport, r.replica, r.seq)), "after": _key((r.after_lamport, r.after_replica, r.after_seq)), "value": r.value}
-            for r in pdf.itertuples(index=False)
-        ]
-        got = rga_order(rows)
-        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]] * len(got), "pos": range(len(got)), "value": [v for _, v, _ in got], "visible": [s for _, _, s in got]})
+    def work(doc, rows):
+        got = rga_order([{"kind": r.kind, "id": _key((r.lamport, r.replica, r.seq)), "after": _key((r.after_lamport, r.after_replica, r.after_seq)), "value": r.value} for r in rows])
+        return [(doc, pos, value, visible) for pos, (_, value, visible) in enumerate(got)]
 
-    return ops.groupBy("doc").applyInPandas(run, f"doc {ops.schema['doc'].dataType.simpleString()}, pos long, value string, visible boolean")
+    return _by_document(ops, work, f"doc {ops.schema['doc'].dataType.simpleString()}, pos long, value string, visible boolean")
 
 
 def oplog_merge(*logs: DataFrame) -> DataFrame:
