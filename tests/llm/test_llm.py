@@ -87,6 +87,15 @@ def test_pii_masks_and_generalises_revealing_terms(spark):
     assert all(got[a]["text"] == b for a, b in rows[4:]) and got[0]["n_chars"] == len(got[0]["text"]) and got[3]["extra"] == "k"
 
 
+def test_working_names_leave_clashing_columns_alone(spark):
+    p = "A passage of more than a few words that two documents share, " + " ".join(f"word{i}" for i in range(30)) + "."
+    names = ("__base", "__id", "__h", "__terms", "__runs")
+    df = spark.createDataFrame([(1, f"{p} jo@x.org", *"abcde"), (2, f"Own. {p} end", *"fghij")], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for out in (pii.sanitised(df), substring.deduplicated(df)):
+        assert out.columns == df.columns
+        same(out.select("doc_id", *names).collect(), df.select("doc_id", *names).collect())
+
+
 def shingle_print(t):
     w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)) if x]
     if not w:

@@ -35,6 +35,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until they clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """body(x) with x bound to value, which is evaluated once for each row."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tidefold.llm.common import staged
 
 WINDOW = 10
-#: Text bytes of the benchmark in one broadcast block.
-BLOCK_BYTES = 16 << 20
+#: Text bytes of the benchmark in one broadcast block. A worker's searchers take about 115 times as much memory.
+BLOCK_BYTES = 2 << 20
 
 #: Lower-cases A-Z and turns every ASCII byte that is in no word into a space; bytes of other characters stay.
 _TO_WORDS = bytes(b | 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))

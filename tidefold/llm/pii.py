@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import own_key, same_row, spans_if, spans_of, staged, tagged
+from tidefold.llm.common import own_key, same_row, spans_if, spans_of, staged, tagged, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words taken on each side of a mention, and the code points in which they are looked for.
@@ -156,13 +156,14 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """docs with text masked where spans were found; n_chars, if there, follows. Other rows and columns stay."""
-    terms = term_spans(docs).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("terms").alias("__terms"))
+    """docs with text masked where spans were found; n_chars, if there, follows. Other rows and columns stay, whatever their names."""
+    base, key, h, term = unused(docs, "__base", "__id", "__h", "__terms")
+    terms = term_spans(docs).select(F.col("doc_id").alias(key), F.col("h").alias(h), F.col("terms").alias(term))
     spans = base_spans(F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumn("__base", F.concat(*(tagged(spans[k], k, KINDS.index(k)) for k in KINDS[:4])))
-    found, clean = rows.filter(F.size("__base") > 0), rows.filter(F.size("__base") == 0).drop("__base")
-    joined = found.join(terms, found["doc_id"].eqNullSafe(terms["__id"]) & (F.xxhash64(found["text"]) == terms["__h"]), "left")
-    all_spans = F.concat("__base", F.coalesce("__terms", F.array().cast("array<struct<s:int,o:int,e:int,k:string>>")))
+    rows = docs.withColumn(base, F.concat(*(tagged(spans[k], k, KINDS.index(k)) for k in KINDS[:4])))
+    found, clean = rows.filter(F.size(base) > 0), rows.filter(F.size(base) == 0).drop(base)
+    joined = found.join(terms, found["doc_id"].eqNullSafe(terms[key]) & (F.xxhash64(found["text"]) == terms[h]), "left")
+    all_spans = F.concat(base, F.coalesce(term, F.array().cast("array<struct<s:int,o:int,e:int,k:string>>")))
     done = joined.withColumn("text", masked(F.col("text"), all_spans))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

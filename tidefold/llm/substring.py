@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import own_key, staged
+from tidefold.llm.common import own_key, staged, unused
 
 #: A run of repeated units is removed from so many words on.
 MIN_WORDS = 25
@@ -88,10 +88,11 @@ def _afresh(first: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the repeated runs cut out of text; documents without any stay as they are."""
-    runs = repeated_runs(docs, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__runs"))
-    both = docs.join(runs, docs["doc_id"].eqNullSafe(runs["__id"]), "left")
+    """docs with the repeated runs cut out of text; documents without any stay as they are, and so do other columns."""
+    key, cuts = unused(docs, "__id", "__runs")
+    runs = repeated_runs(docs, min_words).groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    both = docs.join(runs, docs["doc_id"].eqNullSafe(runs[key]), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     upto = lambda a, b: F.substring("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    left = F.aggregate("__runs", start, lambda acc, x: F.struct(F.concat(acc["out"], upto(acc["at"], x["start"])).alias("out"), x["end"].alias("at")), lambda acc: F.concat(acc["out"], upto(acc["at"], F.char_length("text").cast("long"))))
-    return both.withColumn("text", F.when(F.col("__runs").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    left = F.aggregate(cuts, start, lambda acc, x: F.struct(F.concat(acc["out"], upto(acc["at"], x["start"])).alias("out"), x["end"].alias("at")), lambda acc: F.concat(acc["out"], upto(acc["at"], F.char_length("text").cast("long"))))
+    return both.withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
