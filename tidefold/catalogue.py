@@ -654,6 +654,51 @@ def _(t):
     return t.supplier.agg(F.min("s_name").alias("host"))
 
 
+_FENCED = f"{_CUST}, fz AS (SELECT *, n_nationkey % 5 AS g, 'e-n-' || n_name AS edge FROM cu)"
+
+
+def ledger_finals(t: Tables) -> DataFrame:
+    """Last slots of each nation's edge, which '<edge>-2' follows. By nation: transfers, net negative, uncovered, drained, sound."""
+    g, c = F.col("n_nationkey") % 5, ledger_counters(t).groupBy("edge", "replica").pivot("kind", ["issued", "returned", "leaf"]).agg(F.max("amount"))
+    n = t.nation.select("n_nationkey", F.concat(F.lit("e-n-"), "n_name").alias("edge"))
+    return c.join(n, "edge").select(
+        F.concat("edge", F.lit("-2")).alias("live"), "edge", "replica", "issued", F.when(g == 1, 3 * F.col("issued")).when(g == 3, F.col("issued")).otherwise(F.col("returned")).alias("returned"),
+        F.when(g == 2, 3 * F.col("leaf")).when(g == 3, 0).otherwise(F.col("leaf")).cast("long").alias("leaf"), F.lit(0).cast("long").alias("rollup"))
+
+
+def _relocating(t: Tables):
+    standing = t.nation.select(F.concat(F.lit("e-n-"), "n_name", F.lit("-2")).alias("edge"), F.lit("r0").alias("replica"), F.lit("issued_in").alias("kind"), F.lit(10).cast("long").alias("amount"))
+    moved = t.nation.filter("n_nationkey % 5 = 0").select(F.concat(F.lit("e-n-"), "n_name").alias("path"), F.lit("r0").alias("sender"), F.lit("r1").alias("receiver"), F.lit(1).cast("long").alias("amount"))
+    return ledger_finals(t), standing, moved
+
+
+@query("l7_outcomes", f"WITH {_FENCED} SELECT DISTINCT edge || '-2' AS live, CASE g WHEN 3 THEN 'nothing' WHEN 4 THEN 'moved' ELSE 'refused' END AS outcome, CASE g WHEN 0 THEN 'transfers' WHEN 1 THEN 'net negative' WHEN 2 THEN 'uncovered' END AS reason FROM fz")
+def _(t):
+    return G.relocation_outcomes(*_relocating(t))
+
+
+@query("l7_relocation", f"""WITH {_FENCED}, m AS (SELECT * FROM fz WHERE g = 4)
+SELECT edge, rep AS replica, unnest(['returned', 'issued', 'leaf', 'rollup', 'issued_in', 'leaf_in', 'rollup_in', 'leaf_out', 'rollup_out']) AS kind, unnest([2 * c, 2 * c, c, 0, 0, 0, 0, c, 0])::BIGINT AS amount FROM m
+UNION ALL SELECT edge || '-2', rep, unnest(['issued_in', 'leaf_in', 'rollup_in']), unnest([2 * c - ret + if(rep = 'r0', 10, 0), c, 0])::BIGINT FROM m""")
+def _(t):
+    return G.relocation_patch(*_relocating(t))
+
+
+@query("w11_settle_joiners", """WITH c AS (SELECT c_nationkey AS parent, c_custkey AS edge, c_custkey % 5 + 1 AS w, c_custkey % 17 AS i, c_custkey % 4 < 2 AS dem, c_custkey % 7 = 0 AS fresh, c_custkey % 4 < 2 AND c_custkey % 3 = 0 AS wakes FROM customer),
+f AS (SELECT parent, count(*) FILTER (dem) AS k, sum(i) FILTER (dem) AS sn, sum(w) FILTER (dem) AS sd, arg_max({'i': i, 'w': w}, i / w) AS top FROM c WHERE NOT fresh AND NOT wakes GROUP BY 1),
+g AS (SELECT parent, (CASE WHEN k > 0 THEN sn ELSE top.i END)::BIGINT AS n, (CASE WHEN k > 0 THEN sd ELSE top.w END)::BIGINT AS d FROM f),
+x AS (SELECT parent, edge, fresh, CASE WHEN coalesce(n * w > i * d, FALSE) THEN n ELSE i END AS sn, CASE WHEN coalesce(n * w > i * d, FALSE) THEN d ELSE w END AS sd,
+  CASE WHEN wakes AND coalesce(n * w > i * d, FALSE) THEN n * w - i * d ELSE 0 END AS o, CASE WHEN wakes AND coalesce(n * w > i * d, FALSE) THEN d * w ELSE 1 END AS od FROM c LEFT JOIN g USING (parent))
+SELECT parent, edge, CASE WHEN fresh THEN (sn // gcd(sn, sd))::BIGINT END AS seat_num, CASE WHEN fresh THEN (sd // gcd(sn, sd))::BIGINT END AS seat_den, (o // gcd(o, od))::BIGINT AS offset_num, (od // gcd(o, od))::BIGINT AS offset_den FROM x""")
+def _(t):
+    k = F.col("c_custkey")
+    long = lambda c: F.lit(c).cast("long") if isinstance(c, int) else c.cast("long")
+    children = t.customer.select(
+        F.col("c_nationkey").alias("parent"), k.alias("edge"), long(k % 5 + 1).alias("weight_num"), long(1).alias("weight_den"), long(k % 17).alias("issued"), long(k % 4).alias("outstanding"), long(2).alias("target"),
+        (k % 7 != 0).alias("seated"), (k % 3 != 0).alias("was_demanding"), long(0).alias("offset_num"), long(1).alias("offset_den"))
+    return G.settle_joiners(children)
+
+
 @query("w9_schedule")
 def _(t):
     n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))

@@ -1,7 +1,8 @@
 """Fair-share entitlement ledgers: credit, holdings, virtual service, conflicts, and the earliest-eligible-deadline scheduler.
 
 Relations: minted(id, holder, amount); edges(edge, parent, child, weight_num, weight_den, lifecycle);
-counters(edge, replica, kind, amount) with kind in issued, returned, leaf, rollup - each slot merges by its maximum;
+counters(edge, replica, kind, amount) with kind in issued, returned, leaf, rollup, and for what a relocation moved
+issued_in, leaf_in, leaf_out, rollup_in, rollup_out - each slot merges by its maximum;
 transfers(path, sender, receiver, amount), path '' at the root, else the inbound edge.
 """
 
@@ -34,6 +35,12 @@ def slots(counters: DataFrame) -> DataFrame:
     return counters.groupBy("edge", "replica", "kind").agg(F.max("amount").alias("amount"))
 
 
+def effective(counters: DataFrame) -> DataFrame:
+    """The slots with relocated amounts counted where they went: kind in issued, returned, leaf, rollup."""
+    sign = F.when(F.col("kind").endswith("_out"), -F.col("amount")).otherwise(F.col("amount"))
+    return slots(counters).groupBy("edge", "replica", F.substring_index("kind", "_", 1).alias("kind")).agg(F.sum(sign).alias("amount"))
+
+
 def lifecycles(marks: DataFrame) -> DataFrame:
     """A max-register over PREPARED < ACTIVE < CLOSED < RETIRED."""
     rank = F.array_position(F.array(*map(F.lit, LIFECYCLE)), F.col("lifecycle"))
@@ -42,7 +49,7 @@ def lifecycles(marks: DataFrame) -> DataFrame:
 
 def holdings(minted: DataFrame, edges: DataFrame, counters: DataFrame, transfers: DataFrame) -> DataFrame:
     """grp, replica, held: credit in, plus transfers, less what went to children and leaf spending. The root's group is each edge's topmost parent."""
-    slot = slots(counters)
+    slot = effective(counters)
     net = slot.filter("kind in ('issued', 'returned')").groupBy("edge", "replica").agg(F.sum(F.when(F.col("kind") == "issued", F.col("amount")).otherwise(-F.col("amount"))).alias("net"))
     ends = edges.select("edge", "parent", "child").distinct()
     roots = ends.select(F.col("parent").alias("grp")).distinct().join(ends.select(F.col("child").alias("grp")).distinct(), "grp", "left_anti")
@@ -80,7 +87,7 @@ def spend_rollup(spends: DataFrame, edges: DataFrame, depth: int = 8) -> DataFra
 
 def edge_totals(counters: DataFrame) -> DataFrame:
     kinds = ("issued", "returned", "leaf", "rollup")
-    return slots(counters).groupBy("edge").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("amount"))), F.lit(0)).alias(k) for k in kinds))
+    return effective(counters).groupBy("edge").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("amount"))), F.lit(0)).alias(k) for k in kinds))
 
 
 def virtual_service(edges: DataFrame, counters: DataFrame) -> DataFrame:
@@ -95,6 +102,52 @@ def virtual_service(edges: DataFrame, counters: DataFrame) -> DataFrame:
     return net.mapInPandas(run, "edge string, num long, den long")
 
 
+def _fenced(finals: DataFrame, counters: DataFrame) -> DataFrame:
+    """finals with the standing relocations of each slot, n (net inflow), lsp and rsp (effective spending), and why a slot cannot move."""
+    standing = ("returned", "issued_in", "leaf_in", "leaf_out", "rollup_in", "rollup_out")
+    now = slots(counters).groupBy("edge", "replica").agg(*(F.max(F.when(F.col("kind") == k, F.col("amount"))).alias(f"now_{k}") for k in standing))
+    both = finals.join(now, ["edge", "replica"], "left").fillna(0, [f"now_{k}" for k in standing])
+    each = both.withColumns({
+        "iss": F.col("issued") + F.col("now_issued_in"), "lsp": F.col("leaf") + F.col("now_leaf_in") - F.col("now_leaf_out"), "rsp": F.col("rollup") + F.col("now_rollup_in") - F.col("now_rollup_out"),
+    }).withColumn("n", F.col("iss") - F.greatest("returned", "now_returned"))
+    return each.withColumn("bad", F.when((F.col("lsp") < 0) | (F.col("rsp") < 0), "negative spend").when(F.col("n") < 0, "net negative")).withColumn("moves", (F.col("n") != 0) | (F.col("lsp") + F.col("rsp") != 0))
+
+
+def relocation_outcomes(finals: DataFrame, counters: DataFrame, transfers: DataFrame) -> DataFrame:
+    """live, outcome, reason: moved, nothing or refused for each live edge. finals: live, edge, replica, issued, returned, leaf, rollup.
+
+    A move is refused as a whole when a slot spends or nets below zero, when a fenced edge carries transfers, or when
+    a replica's fenced edges together do not cover what it spent through them. Replicas without finals stay as they are.
+    """
+    slot = _fenced(finals, counters)
+    tangled = finals.select("live", F.col("edge").alias("path")).distinct().join(transfers.select("path").distinct(), "path", "left_semi").groupBy("live").agg(F.lit(True).alias("tangled"))
+    move = F.col("moves")
+    by_replica = slot.groupBy("live", "replica").agg(
+        F.min_by("bad", F.when(F.col("bad").isNotNull(), F.struct("edge", "replica"))).alias("bad"), F.min(F.when(F.col("bad").isNotNull(), F.struct("edge", "replica"))).alias("bad_at"), F.max("moves").alias("moves"),
+        (F.coalesce(F.sum(F.when(move, F.col("n"))), F.lit(0)) < F.coalesce(F.sum(F.when(move, F.col("lsp") + F.col("rsp"))), F.lit(0))).alias("uncovered"),
+    )
+    whole = by_replica.groupBy("live").agg(F.min_by("bad", "bad_at").alias("bad"), F.max("moves").alias("moves"), F.max("uncovered").alias("uncovered")).join(tangled, "live", "left")
+    reason = F.when(F.col("bad").isNotNull(), F.col("bad")).when(~F.col("moves"), None).when(F.col("tangled"), "transfers").when(F.col("uncovered"), "uncovered")
+    return whole.select("live", F.when(reason.isNotNull(), "refused").when(F.col("moves"), "moved").otherwise("nothing").alias("outcome"), reason.alias("reason"))
+
+
+def relocation_patch(finals: DataFrame, counters: DataFrame, transfers: DataFrame) -> DataFrame:
+    """Counter rows that drain the fenced edges of every move that is not refused and credit its live edge. Merge by piece."""
+    allowed = relocation_outcomes(finals, counters, transfers).filter("outcome = 'moved'").select("live")
+    slot = _fenced(finals, counters).filter("moves").join(allowed, "live", "left_semi")
+    drained = {
+        "returned": F.col("iss"), "issued": F.col("issued"), "leaf": F.col("leaf"), "rollup": F.col("rollup"), "issued_in": F.col("now_issued_in"), "leaf_in": F.col("now_leaf_in"), "rollup_in": F.col("now_rollup_in"),
+        "leaf_out": F.col("now_leaf_out") + F.col("lsp"), "rollup_out": F.col("now_rollup_out") + F.col("rsp"),
+    }
+    rows = lambda cols: F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("long").alias("amount")) for k, v in cols.items()))).alias("x")
+    out = slot.select("edge", "replica", rows(drained))
+    credit = slot.groupBy(F.col("live").alias("edge"), "replica").agg(F.sum("n").alias("issued_in"), F.sum("lsp").alias("leaf_in"), F.sum("rsp").alias("rollup_in"))
+    credit = credit.select("edge", "replica", rows({k: F.col(k) for k in ("issued_in", "leaf_in", "rollup_in")})).select("edge", "replica", "x.*")
+    now = slots(counters).withColumnRenamed("amount", "now")
+    credit = credit.join(now, ["edge", "replica", "kind"], "left").select("edge", "replica", "kind", (F.col("amount") + F.coalesce("now", F.lit(0))).alias("amount"))
+    return out.select("edge", "replica", "x.*").unionByName(credit)
+
+
 def validate(minted: DataFrame, edges: DataFrame, counters: DataFrame, transfers: DataFrame) -> DataFrame:
     """kind, subject of each conflict, sorted."""
     total = edge_totals(counters)
@@ -111,7 +164,7 @@ def validate(minted: DataFrame, edges: DataFrame, counters: DataFrame, transfers
         named(held.filter("held < 0"), "PersistentNegativeHoldings", F.concat_ws("/", "grp", "replica")),
         named(transfers.filter("path <> ''").select("path").distinct().join(ends.select(F.col("edge").alias("path")), "path", "left_anti"), "OrphanedTransferPath", F.col("path")),
     ]
-    spent = slots(counters).filter("kind = 'leaf'").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("spent"))
+    spent = effective(counters).filter("kind = 'leaf'").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("spent"))
     supply = mints(minted).agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("supply"))
     out.append(named(spent.crossJoin(supply).filter("spent > supply"), "ConservationViolation", F.lit("*")))  # one row each
     every = out[0]
@@ -184,6 +237,69 @@ def schedule(children: DataFrame, quantum: int, cap: int | None = None) -> DataF
     return children.groupBy("parent").applyInPandas(run, "parent string, step long, edge string, amount long")
 
 
+def _joiners(pdf: pd.DataFrame) -> list[tuple[object, Edge, Fraction, bool, bool]]:
+    """parent, edge (service with its offset), raw service, whether unseated, whether it wakes."""
+    out = []
+    for r in pdf.itertuples(index=False):
+        weight = Fraction(int(r.weight_num), int(r.weight_den))
+        raw, demanding = Fraction(int(r.issued)) / weight, r.target > r.outstanding
+        e = Edge(r.edge, weight, raw + Fraction(int(r.offset_num), int(r.offset_den)), int(r.outstanding), int(r.target), 0)
+        out.append((r.parent, e, raw, not r.seated, bool(demanding and r.was_demanding is not None and not pd.isna(r.was_demanding) and not r.was_demanding)))
+    return out
+
+
+def fronts(children: DataFrame) -> DataFrame:
+    """parent, num, den: the virtual time of each parent's children that are not joining; no row where all are.
+
+    Exact fractions are summed for each batch first, so no task sees all children of a parent.
+    """
+
+    def partly(batches):
+        for pdf in batches:
+            parts: dict = {}
+            for parent, e, _, fresh, wakes in _joiners(pdf):
+                if not fresh and not wakes:
+                    v, w, top = parts.get(parent, (Fraction(0), Fraction(0), e.service))
+                    v, w = (v + e.weight * e.service, w + e.weight) if e.target > e.outstanding else (v, w)
+                    parts[parent] = v, w, max(top, e.service)
+            yield pd.DataFrame([(p, *map(str, x)) for p, x in parts.items()], columns=["parent", "v", "w", "top"])
+
+    def wholly(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, w, top = (list(map(Fraction, pdf[c])) for c in ("v", "w", "top"))
+        at = checked(sum(v) / sum(w) if sum(w) else max(top))
+        return pd.DataFrame([(pdf["parent"].iloc[0], at.numerator, at.denominator)], columns=["parent", "num", "den"])
+
+    kind = children.schema["parent"].dataType.simpleString()
+    return children.mapInPandas(partly, f"parent {kind}, v string, w string, top string").groupBy("parent").applyInPandas(wholly, f"parent {kind}, num long, den long")
+
+
+def settle_joiners(children: DataFrame, sleeper_credit: int = 0) -> DataFrame:
+    """parent, edge, seat_num, seat_den, offset_num, offset_den: seats of newborn children, and offsets after waking ones are clamped.
+
+    children: parent, edge, weight_num, weight_den, issued, outstanding, target, seated, was_demanding (null: not seen before),
+    offset_num, offset_den. A newborn is seated at the front, or where its own service puts it if that is further (the origin
+    without a front); a waking child's offset lifts it to the front, less the credit that sleepers keep, and never falls.
+    """
+    at = fronts(children).select(F.col("parent").alias("of"), F.col("num").alias("front_num"), F.col("den").alias("front_den"))
+    kinds = {f.name: f.dataType.simpleString() for f in children.schema.fields}
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for (parent, e, raw, fresh, wakes), num, den in zip(_joiners(pdf), pdf["front_num"], pdf["front_den"]):
+                front_at = None if num is None else Fraction(int(num), int(den))
+                seat = checked(max(front_at or Fraction(0), raw)) if fresh else None
+                offset = e.service - raw
+                if wakes and front_at is not None:
+                    offset = checked(max(offset, front_at - raw - sleeper_credit / e.weight))
+                out.append((parent, e.id, None if seat is None else seat.numerator, None if seat is None else seat.denominator, offset.numerator, offset.denominator))
+            made = pd.DataFrame(out, columns=["parent", "edge", "seat_num", "seat_den", "offset_num", "offset_den"])
+            yield made.astype({"seat_num": "Int64", "seat_den": "Int64"})
+
+    joined = children.join(at, children["parent"] == at["of"], "left").withColumns({c: F.col(c).cast("string") for c in ("front_num", "front_den")})
+    return joined.mapInPandas(run, f"parent {kinds['parent']}, edge {kinds['edge']}, seat_num long, seat_den long, offset_num long, offset_den long")
+
+
 def demand_fold(boards: DataFrame) -> DataFrame:
     """Pointwise maximum of the live demand boards."""
     return boards.groupBy("edge").agg(F.max("target").alias("target"), F.max("most").alias("most"))
