@@ -14,6 +14,7 @@ from tidefold.operators import placement as P
 from tidefold.operators import sequence as Q
 from tidefold.operators import sketches as K
 from tidefold.plans import draft as D
+from tidefold.sources import archive as A
 
 
 def rows(df):
@@ -156,3 +157,52 @@ def test_lattice_laws(spark):
     want = rows(L.gcounter(L.piece(a, b, c), ["k"]))
     assert want == rows(L.gcounter(L.piece(c, b, a, a), ["k"]))
     assert want == rows(L.gcounter(L.piece(L.per_replica_max(L.piece(a, b), ["k"]), c), ["k"]))
+
+
+def test_relocation_moves_what_was_charged_and_only_once(spark):
+    finals = spark.createDataFrame([("t", "s1", "a", 10, 1, 3, 1), ("t", "s2", "a", 4, 0, 6, 0), ("t", "s1", "b", 2, 2, 0, 0)], "live string, edge string, replica string, issued long, returned long, leaf long, rollup long")
+    kinds = ("issued", "returned", "leaf", "rollup")
+    base = spark.createDataFrame([(r["edge"], r["replica"], k, r[k]) for r in finals.collect() for k in kinds], "edge string, replica string, kind string, amount long")
+    none = spark.createDataFrame([], "path string")
+    patch = G.relocation_patch(finals, base, none)
+    after = L.piece(base, patch)
+    total = {r["edge"]: tuple(r[k] for k in kinds) for r in G.edge_totals(after).collect()}
+    assert total["t"] == (13, 0, 9, 1)
+    assert all(a - b == 0 and leaf == rollup == 0 for e, (a, b, leaf, rollup) in total.items() if e != "t")
+    assert rows(G.relocation_outcomes(finals, after, none)) == [("t", "nothing", None)]
+    assert G.relocation_patch(finals, after, none).count() == 0
+    assert rows(G.relocation_outcomes(finals, base, spark.createDataFrame([("s2",)], "path string"))) == [("t", "refused", "transfers")]
+    assert G.relocation_outcomes(finals.limit(0), base, none).count() == 0
+
+
+def test_joiners_are_seated_and_clamped(spark):
+    schema = "parent string, edge string, weight_num long, weight_den long, issued long, outstanding long, target long, seated boolean, was_demanding boolean, offset_num long, offset_den long"
+    children = spark.createDataFrame([
+        ("p", "runs", 2, 1, 20, 0, 5, True, True, 0, 1), ("p", "idle", 1, 1, 99, 0, 0, True, True, 0, 1), ("p", "wakes", 1, 2, 1, 0, 5, True, False, 1, 3), ("p", "carried", 1, 1, 0, 0, 5, True, False, 50, 1),
+        ("p", "unseen", 1, 1, 0, 0, 5, False, None, 0, 1), ("p", "ahead", 1, 1, 40, 0, 0, False, None, 0, 1), ("q", "only", 1, 1, 3, 0, 5, True, False, 1, 2), ("q", "born", 3, 1, 0, 0, 5, False, None, 0, 1),
+    ], schema)
+    assert rows(G.fronts(children)) == [("p", 10, 1)]
+    got = {r[1]: r[2:] for r in rows(G.settle_joiners(children))}
+    assert got == {
+        "runs": (None, None, 0, 1), "idle": (None, None, 0, 1), "wakes": (None, None, 8, 1), "carried": (None, None, 50, 1),
+        "unseen": (10, 1, 0, 1), "ahead": (40, 1, 0, 1), "only": (None, None, 1, 2), "born": (0, 1, 0, 1),
+    }
+    assert {r[1]: r[4:] for r in rows(G.settle_joiners(children, sleeper_credit=2))}["wakes"] == (4, 1)
+    assert G.settle_joiners(children.limit(0)).count() == 0
+
+
+def test_window_drop_steps_over_compacted_and_keeps_gaps(spark):
+    ident = "doc long, lamport long, replica string, seq long"
+    ops = spark.createDataFrame([(1, s, r, s, "insert") for s in (1, 2, 4, 6) for r in "ab"] + [(1, 3, "a", 3, "compact")], ident + ", kind string")
+    dropped = spark.createDataFrame([(1, s, "a", s) for s in (1, 2, 4, 6)] + [(1, 1, "b", 1), (1, 9, "b", 9)], ident)
+    assert rows(Q.drop_window(ops, dropped, "a", spark.createDataFrame([], "doc long, upto long"))) == [(1, "compact", 1, "b", 1), (1, "compact", 6, "a", 6), (1, "floor", None, "a", 4)]
+    assert Q.drop_window(ops, dropped.limit(0), "a", spark.createDataFrame([], "doc long, upto long")).count() == 0
+
+
+def test_archive_append_adds_to_what_is_there(spark, tmp_path):
+    frames = spark.createDataFrame([(i, i + 1) for i in range(6)], "offset long, end_offset long")
+    A.append(frames.filter("offset < 4"), str(tmp_path / "log"))
+    A.append(frames.filter("offset >= 4"), str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert [tuple(r) for r in A.replay(log).collect()] == [(i, i + 1) for i in range(6)]
+    assert rows(A.verdict(log)) == [(None, 6, 0)] and rows(A.verdict(log.filter("offset <> 2"))) == [(2, 6, 1)]

@@ -856,7 +856,8 @@ def _(t):
 
 def line_ops(t: Tables) -> DataFrame:
     """Each order is a document that two replicas appended to; returned lines are removed again."""
-    li = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").cast("string").alias("value"), "l_returnflag").dropDuplicates(["doc", "n"])
+    li = t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").cast("string").alias("value"), "l_returnflag")
+    li = li.groupBy("doc", "n").agg(F.min("value").alias("value"), F.min("l_returnflag").alias("l_returnflag"))
     prev = Window.partitionBy("doc").orderBy("n")
     rep = lambda n: F.concat(F.lit("r"), (n % 2).cast("string"))
     p = F.lag("n").over(prev)
@@ -881,11 +882,25 @@ def _(t):
     return Q.oplog_merge(ops, ops.filter("seq % 2 = 0")).groupBy("doc").agg(F.count("*").alias("inserts"))
 
 
-@query("q4_compactable")
+_ENDS = "li AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT AS n, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2), nx AS (SELECT *, lead(n) OVER (PARTITION BY doc ORDER BY n) AS nxt FROM li)"
+
+
+@query("q4_compactable", f"WITH {_ENDS} SELECT doc, n AS lamport, 'r' || (n % 2) AS replica, n AS seq FROM nx WHERE f = 'R' AND nxt IS NULL AND n <= CASE n % 2 WHEN 0 THEN 6 ELSE 5 END")
 def _(t):
     return Q.compactable(line_ops(t), t.rows([("r0", 6), ("r1", 5)], "replica string, upto long"))
 
 
+@query("q5_drop_window", f"""WITH {_ENDS}, fl AS (SELECT doc, CASE WHEN NOT bool_or(n = 1) THEN 0 WHEN doc % 2 = 0 THEN CASE WHEN bool_or(n = 3) THEN 3 ELSE 2 END ELSE 1 END AS upto FROM li WHERE n <= 4 GROUP BY doc)
+SELECT doc, 'floor' AS kind, NULL::BIGINT AS lamport, 'r1' AS replica, upto::BIGINT AS seq FROM fl WHERE upto > 0
+UNION ALL SELECT doc, 'compact', n, 'r' || (n % 2), n FROM li JOIN fl USING (doc) WHERE n <= 4 AND NOT (n % 2 = 1 AND n <= upto)""")
+def _(t):
+    ops = line_ops(t)
+    ident = ["doc", "lamport", "replica", "seq"]
+    gone = ops.filter("doc % 2 = 0").groupBy("doc").agg(F.lit("compact").alias("kind")).select("doc", "kind", F.lit(9).cast("long").alias("lamport"), F.lit("r1").alias("replica"), F.lit(2).cast("long").alias("seq"))
+    held = ops.select(*ident, "kind").unionByName(gone)
+    return Q.drop_window(held, ops.filter("kind = 'insert' and seq <= 4").select(*ident), "r1", t.rows([], "doc long, upto long"))
+
+
 @query("q7_fugue", "SELECT conv_id AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, turn::VARCHAR AS value, turn % 5 <> 4 AS visible FROM (SELECT DISTINCT conv_id, turn FROM conversations)")
 def _(t):
     c = t.conversations.select("conv_id", "turn").distinct()

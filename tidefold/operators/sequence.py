@@ -106,6 +106,26 @@ def compactable(ops: DataFrame, stable: DataFrame) -> DataFrame:
     return dead.join(used, ident, "left_anti").select(*ident)
 
 
+def drop_window(ops: DataFrame, dropped: DataFrame, own: str, floors: DataFrame) -> DataFrame:
+    """doc, kind, lamport, replica, seq: what removes the dropped elements (doc, lamport, replica, seq) from a log.
+
+    The replica's own ones that continue its floor (doc, upto) without a gap raise it, over those compacted before too;
+    the other inserts that the log still holds are compacted by name. A floor that stays gives no row.
+    """
+    ident = ["doc", "lamport", "replica", "seq"]
+    mine = F.col("replica") == own
+    taken = dropped.filter(mine).select("doc", "seq").union(ops.filter(mine & (F.col("kind") == "compact")).select("doc", "seq")).distinct()
+    base = F.coalesce(F.col("upto"), F.lit(0))
+    above = taken.join(floors, "doc", "left").withColumn("upto", base).filter("seq > upto")
+    in_doc = Window.partitionBy("doc").orderBy("seq")
+    raised = above.withColumn("run", F.col("seq") - F.row_number().over(in_doc)).filter("run = upto").groupBy("doc").agg(F.max("seq").alias("upto"))
+    reached = floors.unionByName(raised).groupBy("doc").agg(F.max("upto").alias("upto"))
+    held = dropped.select(*ident).distinct().join(ops.filter("kind = 'insert'").select(*ident), ident, "left_semi")
+    rest = held.join(reached, "doc", "left").filter(~(mine & (F.col("seq") <= base)))
+    floor = raised.select("doc", F.lit("floor").alias("kind"), F.lit(None).cast("long").alias("lamport"), F.lit(own).alias("replica"), F.col("upto").alias("seq"))
+    return floor.unionByName(rest.select("doc", F.lit("compact").alias("kind"), F.col("lamport").cast("long").alias("lamport"), "replica", "seq"))
+
+
 def fugue_order(nodes: list[dict]) -> list[tuple]:
     """(id, value) in document order. Left children ascend by id; right children go by their right origin from the right, ties by id descending."""
     by_id = {n["id"]: n for n in nodes}
