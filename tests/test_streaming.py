@@ -50,3 +50,12 @@ def test_threshold_and_presence(spark, tmp_path):
     assert q.reached["at"] == 0
     got = drained(S.presence(stream.withWatermark("ts", "1 minute"), 60_000), tmp_path, "presence", "update").collect()
     assert ("a", 2, True) in set(map(tuple, got)) and ("b", 1, True) in set(map(tuple, got))
+
+
+def test_presence_departs_after_silence(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    rows = [("quiet", 1, "x", t), ("talks", 1, "x", t), ("talks", 2, "x", t + datetime.timedelta(hours=1)), ("talks", 3, "x", t + datetime.timedelta(hours=1, seconds=1))]
+    stream = source(spark, tmp_path, rows, "replica string, clock long, value string, ts timestamp")
+    got = set(map(tuple, drained(S.presence(stream.withWatermark("ts", "1 minute"), 60_000), tmp_path, "silence", "update").collect()))
+    assert ("quiet", 1, True) in got and ("quiet", 1, False) in got
+    assert ("talks", 3, True) in got and ("talks", 3, False) not in got
