@@ -303,3 +303,19 @@ def test_pipeline_stages(spark):
     assert sorted(r["doc_id"] for r in out) == sorted(clean)
     masked = {r["doc_id"]: r["text"] for r in pii.sanitised(left.filter(F.col("doc_id").isin(list(clean)))).collect()}
     assert {r["doc_id"]: r["decoded_sha256"] for r in out} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in masked.items()}
+
+
+@pytest.mark.parametrize("name", ["op7_license", "op9_decontaminate", "op10_quality"])
+def test_sql_gives_the_same_rows(spark, name):
+    import duckdb
+
+    from tidefold.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = queries.queries()[name](spark, DATA)
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    same(df.select(*names).collect(), cur.fetchall())
