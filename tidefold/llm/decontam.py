@@ -195,4 +195,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         docs = docs.mapInArrow(_filtering(docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.collect()])), docs.schema)
+        if k + 1 < blocks:  # a table between, so that a task holds one block's searchers
+            docs = staged(docs, "decontam-rest")
     return docs
