@@ -13,6 +13,7 @@ from tidefold.operators import ledger as G
 from tidefold.operators import placement as P
 from tidefold.operators import sequence as Q
 from tidefold.operators import sketches as K
+from tidefold.operators import speculation as X
 from tidefold.plans import draft as D
 from tidefold.sources import archive as A
 
@@ -206,3 +207,44 @@ def test_archive_append_adds_to_what_is_there(spark, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log"))
     assert [tuple(r) for r in A.replay(log).collect()] == [(i, i + 1) for i in range(6)]
     assert rows(A.verdict(log)) == [(None, 6, 0)] and rows(A.verdict(log.filter("offset <> 2"))) == [(2, 6, 1)]
+
+
+def test_sequence_edits(spark):
+    schema = "doc long, kind string, lamport long, replica string, seq long, after_lamport long, after_replica string, after_seq long, value string"
+    chain = [(1, "insert", i, "a", i, i - 1 or None, "a" if i > 1 else None, i - 1 or None, "abcd"[i - 1]) for i in range(1, 5)]
+    ops = spark.createDataFrame([*chain, (1, "remove", 2, "a", 2, None, None, None, None)], schema)
+    text = lambda df: "".join(r.value for r in Q.rga_materialize(df).filter("visible").orderBy("pos").collect())
+    put = lambda i, v: ops.unionByName(Q.insert_at(ops, spark.createDataFrame([(1, i, v)], "doc long, index long, value string"), "b"))
+    assert [text(put(i, "x")) for i in range(4)] == ["xacd", "axcd", "acxd", "acdx"]
+    with pytest.raises(Exception, match="beyond"):
+        put(4, "x").collect()
+    run = spark.createDataFrame([(1, 4, "a", 4, list("xyz")), (2, None, None, None, list("q"))], "doc long, after_lamport long, after_replica string, after_seq long, values array<string>")
+    made = Q.insert_all_after(ops, run, "a")
+    assert [tuple(r)[:8] for r in made.orderBy("doc", "lamport").collect()] == [(1, "insert", 5, "a", 5, 4, "a", 4), (1, "insert", 6, "a", 6, 5, "a", 5), (1, "insert", 7, "a", 7, 6, "a", 6), (2, "insert", 1, "a", 1, None, None, None)]
+    assert text(ops.unionByName(made).filter("doc = 1")) == "acdxyz"
+    at = lambda i: rows(Q.remove_at(ops, spark.createDataFrame([(1, i)], "doc long, index long")))
+    assert at(1) == [(1, "remove", 3, "a", 3)] and at(3) == [] and at(-1) == []
+    first = lambda n: rows(Q.remove_first(ops, spark.createDataFrame([(1, n)], "doc long, count long")))
+    assert [r[4] for r in first(2)] == [1, 3] and first(0) == []
+    with pytest.raises(Exception, match="beyond"):
+        first(4)
+
+
+def test_speculation(spark):
+    add = lambda state, action: state + (action,)
+    s = X.Session((), add)
+    for event in [("propose", "a"), ("propose", "b"), ("commit", "z", "other", 1), ("commit", "a", "me", 1)]:
+        s.take(*event)
+    assert (s.sure, s.shown, list(s.pending)) == (("z", "a"), ("z", "a", "b"), ["b"])
+    s.take("commit", "z", "other", 1)  # a duplicate changes no state
+    s.take("propose", "c")
+    s.take("fail", None)
+    assert (s.sure, s.shown, s.confirmed) == (("z", "a"), ("z", "a", "b"), 3)
+    s.take("commit", "b", "me", 1)  # a duplicate with a pending twin drops the twin
+    assert (s.sure, s.shown, list(s.pending)) == (("z", "a"), ("z", "a"), [])
+    s.take("propose", "d")
+    s.take("reset", ("r",))
+    assert (s.sure, s.shown, list(s.pending)) == (("r",), ("r",), [])
+    events = spark.createDataFrame([(1, 2, "commit", "m", 1, 5), (1, 1, "propose", None, None, 5), (2, 1, "propose", None, None, 7)], "session long, idx long, kind string, client string, request long, action long")
+    assert rows(X.speculate(events, 0, lambda a, b: a + b)) == [(1, 5, 5, 0, 1), (2, 0, 7, 1, 0)]
+    assert X.speculate(events.limit(0), 0, lambda a, b: a + b).count() == 0

@@ -16,6 +16,7 @@ from tidefold.operators import ledger as G
 from tidefold.operators import placement as P
 from tidefold.operators import sequence as Q
 from tidefold.operators import sketches as K
+from tidefold.operators import speculation as X
 from tidefold.operators import telemetry as T
 from tidefold.plans import draft as D
 from tidefold.sources import archive as A
@@ -708,6 +709,17 @@ def _(t):
     return G.schedule(children, quantum=5, cap=15)
 
 
+@query("w12_speculation", """WITH e AS (SELECT event_id % 50 AS session, event_id AS id, user_id AS client, (event_id * 7) % 101 AS request, event_id % 3 = 0 AS proposed FROM events),
+c AS (SELECT *, client IS NULL OR request > coalesce(max(request) OVER (PARTITION BY session, client ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh FROM e WHERE NOT proposed),
+a AS (SELECT session, -coalesce(sum(id) FILTER (fresh), 0) AS v, count(*) AS n FROM c GROUP BY 1), p AS (SELECT session, sum(id) AS v, count(*) AS n FROM e WHERE proposed GROUP BY 1)
+SELECT session, coalesce(a.v, 0)::BIGINT AS authoritative, (coalesce(a.v, 0) + coalesce(p.v, 0))::BIGINT AS speculative, coalesce(p.n, 0) AS pending, coalesce(a.n, 0) AS confirmed FROM a FULL JOIN p USING (session)""")
+def _(t):
+    i = F.col("event_id")
+    return X.speculate(t.events.select(
+        (i % 50).alias("session"), i.alias("idx"), F.when(i % 3 == 0, "propose").otherwise("commit").alias("kind"), F.col("user_id").alias("client"), (i * 7 % 101).alias("request"),
+        F.when(i % 3 == 0, i).otherwise(-i).cast("long").alias("action")), 0, lambda state, action: state + action)
+
+
 # ---- sketches -------------------------------------------------------------------------------------------------
 
 
@@ -885,6 +897,20 @@ def _(t):
 _ENDS = "li AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT AS n, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2), nx AS (SELECT *, lead(n) OVER (PARTITION BY doc ORDER BY n) AS nxt FROM li)"
 
 
+@query("q3_insert_at", f"WITH {_ENDS}, v AS (SELECT doc, min(n) AS f1 FROM li WHERE f <> 'R' GROUP BY doc) SELECT doc, max(n) + 1 AS lamport, 'r0' AS replica, coalesce(max(n) FILTER (n % 2 = 0), 0) + 1 AS seq, any_value(f1) AS after_lamport, any_value(f1) AS after_seq FROM li JOIN v USING (doc) GROUP BY doc")
+def _(t):
+    ops = line_ops(t)
+    gone = ops.filter("kind = 'remove'").select("doc", "seq")
+    some = ops.filter("kind = 'insert'").join(gone, ["doc", "seq"], "left_anti").select("doc").distinct()
+    return Q.insert_at(ops, some.select("doc", F.lit(1).alias("index"), F.lit("new").alias("value")), "r0").select("doc", "lamport", "replica", "seq", "after_lamport", "after_seq")
+
+
+@query("q3_remove_at", f"WITH {_ENDS}, v AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n) - 1 AS place FROM li WHERE f <> 'R') SELECT doc, n AS lamport, 'r' || (n % 2) AS replica, n AS seq FROM v WHERE place = 1")
+def _(t):
+    ops = line_ops(t)
+    return Q.remove_at(ops, ops.select("doc", F.lit(1).alias("index"))).select("doc", "lamport", "replica", "seq")
+
+
 @query("q4_compactable", f"WITH {_ENDS} SELECT doc, n AS lamport, 'r' || (n % 2) AS replica, n AS seq FROM nx WHERE f = 'R' AND nxt IS NULL AND n <= CASE n % 2 WHEN 0 THEN 6 ELSE 5 END")
 def _(t):
     return Q.compactable(line_ops(t), t.rows([("r0", 6), ("r1", 5)], "replica string, upto long"))

@@ -51,7 +51,7 @@ def rga_order(ops: list[dict]) -> list[tuple]:
     return out
 
 
-def _by_document(ops: DataFrame, work, schema: str) -> DataFrame:
+def _by_document(ops: DataFrame, work, schema: str, columns: list[str] | None = None) -> DataFrame:
     """work(doc, rows) for each document, whose rows come together: dealt by document, sorted, streamed. Holds one document at a time and costs no call for each."""
 
     def run(batches):
@@ -62,13 +62,13 @@ def _by_document(ops: DataFrame, work, schema: str) -> DataFrame:
                     out += work(doc, held)
                     held = []
                     if len(out) > 20_000:
-                        yield pd.DataFrame(out, columns=_ORDERED)
+                        yield pd.DataFrame(out, columns=columns or _ORDERED)
                         out = []
                 doc = r.doc
                 held.append(r)
         if held:
             out += work(doc, held)
-        yield pd.DataFrame(out, columns=_ORDERED)
+        yield pd.DataFrame(out, columns=columns or _ORDERED)
 
     return ops.repartition("doc").sortWithinPartitions("doc").mapInPandas(run, schema)
 
@@ -76,14 +76,76 @@ def _by_document(ops: DataFrame, work, schema: str) -> DataFrame:
 _ORDERED = ["doc", "pos", "value", "visible"]
 
 
+def _rga_work(with_ids: bool):
+    def work(doc, rows):
+        got = rga_order([{"kind": r.kind, "id": _key((r.lamport, r.replica, r.seq)), "after": _key((r.after_lamport, r.after_replica, r.after_seq)), "value": r.value} for r in rows])
+        return [(doc, pos, value, visible, *(ident if with_ids else ())) for pos, (ident, value, visible) in enumerate(got)]
+
+    return work
+
+
 def rga_materialize(ops: DataFrame) -> DataFrame:
     """doc, pos, value, visible from ops (doc, kind, lamport, replica, seq, after_lamport, after_replica, after_seq, value)."""
+    return _by_document(ops, _rga_work(False), f"doc {ops.schema['doc'].dataType.simpleString()}, pos long, value string, visible boolean")
+
+
+def visible_ids(ops: DataFrame) -> DataFrame:
+    """doc, at, lamport, replica, seq: the elements not removed, counted from 0 in each document."""
+    schema = f"doc {ops.schema['doc'].dataType.simpleString()}, pos long, value string, visible boolean, lamport long, replica string, seq long"
+    shown = _by_document(ops, _rga_work(True), schema, [*_ORDERED, "lamport", "replica", "seq"]).filter("visible")
+    at = F.row_number().over(Window.partitionBy("doc").orderBy("pos")).cast("long") - 1
+    return shown.select("doc", at.alias("at"), "lamport", "replica", "seq")
 
-    def work(doc, rows):
-        got = rga_order([{"kind": r.kind, "id": _key((r.lamport, r.replica, r.seq)), "after": _key((r.after_lamport, r.after_replica, r.after_seq)), "value": r.value} for r in rows])
-        return [(doc, pos, value, visible) for pos, (_, value, visible) in enumerate(got)]
 
-    return _by_document(ops, work, f"doc {ops.schema['doc'].dataType.simpleString()}, pos long, value string, visible boolean")
+def insert_all_after(ops: DataFrame, runs: DataFrame, replica: str) -> DataFrame:
+    """The insert ops of runs (doc, after_lamport, after_replica, after_seq, values), at most one run a document, as chains.
+
+    A null predecessor is the document's head. Clocks continue the document's largest, sequence numbers the replica's.
+    """
+    own = F.max(F.when(F.col("replica") == replica, F.col("seq")))
+    reached = ops.groupBy("doc").agg(F.max("lamport").alias("clock"), own.alias("last"))
+    each = runs.join(reached, "doc", "left").select(
+        "doc", "after_lamport", "after_replica", "after_seq", F.coalesce("clock", F.lit(0)).cast("long").alias("clock"), F.coalesce("last", F.lit(0)).cast("long").alias("last"),
+        F.posexplode("values").alias("i", "value"),
+    )
+    first = F.col("i") == 0
+    return each.select(
+        "doc", F.lit("insert").alias("kind"), (F.col("clock") + F.col("i") + 1).alias("lamport"), F.lit(replica).alias("replica"), (F.col("last") + F.col("i") + 1).alias("seq"),
+        F.when(first, F.col("after_lamport")).otherwise(F.col("clock") + F.col("i")).alias("after_lamport"),
+        F.when(first, F.col("after_replica")).otherwise(F.lit(replica)).alias("after_replica"),
+        F.when(first, F.col("after_seq")).otherwise(F.col("last") + F.col("i")).alias("after_seq"), "value",
+    )
+
+
+def _within(edits: DataFrame, shown: DataFrame, number: str) -> DataFrame:
+    """edits, which fail if their number is negative or above the visible size of their document."""
+    size = shown.groupBy("doc").agg(F.count(F.lit(1)).alias("size"))
+    sized = edits.join(size, "doc", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    bad = (F.col(number) < 0) | (F.col(number) > F.col("size"))
+    said = F.format_string(f"{number} %s is beyond the %s visible elements", F.col(number).cast("string"), F.col("size").cast("string"))
+    return sized.withColumn(number, F.when(bad, F.raise_error(said).cast("long")).otherwise(F.col(number).cast("long"))).drop("size")
+
+
+def insert_at(ops: DataFrame, edits: DataFrame, replica: str) -> DataFrame:
+    """The insert ops of edits (doc, index, value), at most one a document, before the visible element at index; fails out of range."""
+    shown = visible_ids(ops)
+    before = shown.select("doc", (F.col("at") + 1).alias("index"), F.col("lamport").alias("after_lamport"), F.col("replica").alias("after_replica"), F.col("seq").alias("after_seq"))
+    placed = _within(edits, shown, "index").join(before, ["doc", "index"], "left")
+    return insert_all_after(ops, placed.withColumn("values", F.array("value")), replica)
+
+
+def remove_at(ops: DataFrame, edits: DataFrame) -> DataFrame:
+    """doc, kind, lamport, replica, seq: removes of the visible elements at edits (doc, index); none where the index is out of range."""
+    hit = visible_ids(ops).join(edits.select("doc", F.col("index").cast("long").alias("at")).distinct(), ["doc", "at"], "left_semi")
+    return hit.select("doc", F.lit("remove").alias("kind"), "lamport", "replica", "seq")
+
+
+def remove_first(ops: DataFrame, counts: DataFrame) -> DataFrame:
+    """doc, kind, lamport, replica, seq: removes of the first visible elements, by counts (doc, count); fails beyond the size."""
+    shown = visible_ids(ops)
+    wanted = _within(counts.filter("count > 0"), shown, "count")
+    hit = wanted.join(shown, "doc", "left").filter((F.col("at") < F.col("count")) | F.col("at").isNull())
+    return hit.filter("seq is not null").select("doc", F.lit("remove").alias("kind"), "lamport", "replica", "seq")
 
 
 def oplog_merge(*logs: DataFrame) -> DataFrame:
