@@ -226,8 +226,9 @@ def test_sequence_edits(spark):
     assert at(1) == [(1, "remove", 3, "a", 3)] and at(3) == [] and at(-1) == []
     first = lambda n: rows(Q.remove_first(ops, spark.createDataFrame([(1, n)], "doc long, count long")))
     assert [r[4] for r in first(2)] == [1, 3] and first(0) == []
-    with pytest.raises(Exception, match="beyond"):
-        first(4)
+    for doc, n in ((1, 4), (9, 1)):  # more than there are, and a document without elements
+        with pytest.raises(Exception, match="beyond"):
+            Q.remove_first(ops, spark.createDataFrame([(doc, n)], "doc long, count long")).collect()
 
 
 def test_speculation(spark):

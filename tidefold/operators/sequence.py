@@ -123,7 +123,9 @@ def _within(edits: DataFrame, shown: DataFrame, number: str) -> DataFrame:
     sized = edits.join(size, "doc", "left").withColumn("size", F.coalesce("size", F.lit(0)))
     bad = (F.col(number) < 0) | (F.col(number) > F.col("size"))
     said = F.format_string(f"{number} %s is beyond the %s visible elements", F.col(number).cast("string"), F.col("size").cast("string"))
-    return sized.withColumn(number, F.when(bad, F.raise_error(said).cast("long")).otherwise(F.col(number).cast("long"))).drop("size")
+    # as a filter, so that the check is made for every edit whatever the joins after it need
+    fine = F.when(bad, F.raise_error(said).cast("boolean")).otherwise(F.lit(True))
+    return sized.filter(fine).withColumn(number, F.col(number).cast("long")).drop("size")
 
 
 def insert_at(ops: DataFrame, edits: DataFrame, replica: str) -> DataFrame:
@@ -144,8 +146,8 @@ def remove_first(ops: DataFrame, counts: DataFrame) -> DataFrame:
     """doc, kind, lamport, replica, seq: removes of the first visible elements, by counts (doc, count); fails beyond the size."""
     shown = visible_ids(ops)
     wanted = _within(counts.filter("count > 0"), shown, "count")
-    hit = wanted.join(shown, "doc", "left").filter((F.col("at") < F.col("count")) | F.col("at").isNull())
-    return hit.filter("seq is not null").select("doc", F.lit("remove").alias("kind"), "lamport", "replica", "seq")
+    hit = wanted.join(shown, "doc", "left").filter(F.col("at") < F.col("count"))
+    return hit.select("doc", F.lit("remove").alias("kind"), "lamport", "replica", "seq")
 
 
 def oplog_merge(*logs: DataFrame) -> DataFrame:
