@@ -846,9 +846,9 @@ def _(t):
     return L.gset(e.filter("event_type = 'click'").select("user_id"), e.filter("event_type = 'error'").select("user_id"))
 
 
-@query("u2_difference", "SELECT user_id FROM events WHERE event_type = 'click' EXCEPT SELECT user_id FROM events WHERE event_type = 'error'")
+@query("u2_difference", "SELECT l_orderkey FROM lineitem EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'")
 def _(t):
-    return t.events.filter("event_type = 'click'").select("user_id").subtract(t.events.filter("event_type = 'error'").select("user_id"))
+    return t.lineitem.select("l_orderkey").subtract(t.lineitem.filter("l_returnflag = 'R'").select("l_orderkey"))
 
 
 @query("u3_intersection", "SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'error'")
