@@ -20,9 +20,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) stays."""
     ensure_on_workers(spark)
-    return simhash.one_of_each(docs)
+    return simhash.one_of_similar(docs, similarity=0.8, shingle=5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,6 +121,44 @@ def test_simhash(spark, docs, texts):
     assert set(kept) == {int(x) for x in label} | {None} and max(kept.values()) == 1
 
 
+def test_one_of_similar_keeps_one_of_each_brute_force_component(spark):
+    import itertools
+
+    import corpus_pipeline as C
+
+    rnd = random.Random(5)
+    rows = [(None, "null id"), (900, None), (901, ""), (902, "Null  ID"), (903, "one two"), (903, "one two"), (904, "same id"), (904, "other text")]
+    for i in range(40):
+        w = [f"v{rnd.randrange(400)}" for _ in range(rnd.choice([6, 30, 120, 600]))]
+        rows.append((10 * i, " ".join(w)))
+        for j in range(1, 4):
+            v = list(w)
+            for at in rnd.sample(range(len(v)), max(1, len(v) * j // 120)):
+                v[at] = f"x{rnd.randrange(10**6)}"
+            rows.append((10 * i + j, " ".join(v)))
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    n_links = 0
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if (len(a & b) >= 0.8 * len(a | b)) and (a or not b):
+            n_links += 1
+            label = [label[i] if x == label[j] else x for x in label]
+    groups = collections.defaultdict(list)
+    for r, g in zip(rows, label):
+        groups[g].append(r)
+    want = [min(g, key=lambda r: (r[0] is None, r[0])) for g in groups.values()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert n_links > 30
+    same(C.simhash_stage(spark, df, DATA).collect(), want)
+    assert simhash.one_of_similar(empty(spark)).count() == 0
+
+
 def test_simhash_forest_equals_all_pairs():
     rnd = np.random.default_rng(2)
     seeds = rnd.integers(0, 1 << 62, 30, dtype=np.uint64)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import staged
+from tidefold.llm.common import staged, unused
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 TILE = 256
@@ -200,3 +200,128 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     once = docs.join(keep.filter("count = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     more = docs.join(keep.filter("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.unionByName(more).unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def shingled(text: str | None, shingle: int = 5) -> tuple[np.ndarray, int, int, int]:
+    """The sorted distinct 64-bit hashes of the shingles, a hash of that set, and a 128-bit fingerprint of it as two longs."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.empty(0, dtype=np.uint64), 0, 0, 0
+    flat = b" ".join(w)
+    lengths = np.fromiter((len(x) + 1 for x in w), dtype=np.int64, count=len(w))
+    ends = np.cumsum(lengths)
+    k = min(shingle, len(w))
+    first, last = (ends - lengths)[: len(w) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist()
+    digest = xxhash.xxh3_128_digest
+    h = np.frombuffer(b"".join([digest(flat[a:b], SEED) for a, b in zip(first, last)]), dtype="<u8").reshape(-1, 2)
+    ids, at = np.unique(h[:, 0], return_index=True)
+    ones = np.zeros(128, dtype=np.int64)
+    for i in range(0, len(at), _CHUNK):
+        ones += np.unpackbits(h[at[i : i + _CHUNK]].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    a, b = np.packbits(ones * 2 > len(at)).view("<i8").tolist()
+    return ids, xxhash.xxh3_64_intdigest(ids.tobytes()) - (1 << 63), a, b
+
+
+def _shingle_rows(shingle: int, whole: bool):
+    def rows(batches):
+        for batch in batches:
+            made = [shingled(t, shingle) for t in batch.column("text").to_pylist()]
+            longs = lambda i: pa.array([x[i] for x in made], pa.int64())
+            cols = [longs(1), pa.array([len(x[0]) for x in made], pa.int64()), longs(2), longs(3)]
+            if whole:
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([x[0].tobytes() for x in made], pa.binary())], ["key", "n", "a", "b", "ids"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *cols], ["doc_id", "h", "key", "n", "a", "b"])
+
+    return rows
+
+
+def _by_size(rows: DataFrame, similarity: float, salts: int) -> DataFrame:
+    """rows dealt to meetings p, q of (size class, salt) classes: sets as similar as asked are at most one size class apart."""
+    own = (F.floor(F.log("n") / -np.log(similarity)) * salts + F.pmod(F.xxhash64("key"), F.lit(salts))).cast("int")
+    rows = rows.withColumn("c", own)
+    size = F.floor(F.col("c") / salts)
+    low, high = F.greatest((size - 1) * salts, F.lit(0)).cast("int"), ((size + 2) * salts - 1).cast("int")
+    met = rows.withColumn("o", F.explode(F.sequence(low, high)))
+    side = F.when(F.col("c") == F.col("o"), 2).when(F.col("c") < F.col("o"), 0).otherwise(1).cast("byte")
+    return met.withColumns({"p": F.least("c", "o"), "q": F.greatest("c", "o"), "side": side}).drop("c", "o")
+
+
+def _close(group: pd.DataFrame, similarity: float, radius: int):
+    """group sorted by size; for each tile of rows: its start, and where a later row of the other side is near enough in size and bits."""
+    n, side = group["n"].to_numpy(), group["side"].to_numpy()
+    fp = group[["a", "b"]].to_numpy().astype(np.int64).view(np.uint64)
+    a, b = np.ascontiguousarray(fp[:, 0]), np.ascontiguousarray(fp[:, 1])
+    for at in range(0, len(n), TILE):
+        end = min(at + TILE, len(n))
+        stop = int(np.searchsorted(n, n[end - 1] / similarity + 1e-6, side="right"))
+        for lo in range(at, stop, 4096):
+            x, y = slice(at, end), slice(lo, min(lo + 4096, stop))
+            hit = np.bitwise_count(a[x, None] ^ a[None, y]) + np.bitwise_count(b[x, None] ^ b[None, y]) <= radius
+            r, c = np.nonzero(hit)
+            r, c = r + at, c + lo
+            ok = (c > r) & (n[r] >= similarity * n[c] - 1e-6) & ((side[r] != side[c]) | (side[r] == 2))
+            yield r[ok], c[ok]
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int, radius: int) -> DataFrame:
+    """u, v: a spanning set of the links between shingle sets (nodes: key, n, a, b, first and h, a document that has it)."""
+    def candidates(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("n", kind="stable", ignore_index=True)
+        near = np.zeros(len(group), dtype=bool)
+        for r, c in _close(group, similarity, radius):
+            near[r] = near[c] = True
+        return group.loc[near, ["key"]]
+
+    def confirmed(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("key").sort_values("n", kind="stable", ignore_index=True)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in group["ids"]]
+        label, pairs, keys = np.arange(len(group)), [], group["key"].tolist()
+        for r, c in _close(group, similarity, radius):
+            while len(r):  # pairs that a confirmed link joins already need no look
+                apart = label[r] != label[c]
+                r, c = r[apart], c[apart]
+                linked = False
+                for i, (x, y) in enumerate(zip(r.tolist(), c.tolist())):
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if both >= similarity * (len(sets[x]) + len(sets[y]) - both) - 1e-9:
+                        pairs.append((keys[x], keys[y]))
+                        label[label == label[y]] = label[x]
+                        linked = True
+                        break
+                r, c = (r[i + 1 :], c[i + 1 :]) if linked else (r[:0], c[:0])
+        return pd.DataFrame(pairs, columns=["u", "v"], dtype="int64")
+
+    n = nodes.count()
+    met = _by_size(nodes.filter("n > 0").select("key", "n", "a", "b"), similarity, max(8, -(-n // (8 * CLASS_ROWS))))
+    near = staged(met.groupBy("p", "q").applyInPandas(candidates, "key long").distinct(), "simhash-candidates")
+    held = nodes.join(near.select(F.col("key").alias("key2")).hint("merge"), F.col("key") == F.col("key2"), "left_semi").select(F.col("first").alias("first2"), F.col("h").alias("h2"))
+    texts = docs.join(held.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first2")) & (F.col("h") == F.col("h2")), "left_semi").select("text")
+    sets = staged(texts.mapInArrow(_shingle_rows(shingle, True), "key long, n long, a long, b long, ids binary"), "simhash-sets")
+    met = _by_size(sets, similarity, max(4, -(-sets.count() // (CLASS_ROWS))))
+    return met.groupBy("p", "q").applyInPandas(confirmed, "u long, v long")
+
+
+def one_of_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 36) -> DataFrame:
+    """docs less all but one document of each component of texts whose shingle sets have a Jaccard similarity of at least `similarity`.
+
+    Candidates are sets of near size whose 128-bit fingerprints differ in at most radius bits (at 0.8 they differ in
+    about 19, unrelated ones in 64); each link is confirmed on the sets themselves. The row with the smallest doc_id
+    stays (nulls last, then by the text's hash), once. Texts without words are copies of each other.
+    """
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = staged(texts.mapInArrow(_shingle_rows(shingle, False), f"doc_id {kind}, h long, key long, n long, a long, b long"), "simhash-shingled")
+    once = rows.groupBy("key", "doc_id", "h").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("h"), F.col("times"))).alias("best")
+    nodes = staged(once.groupBy("key").agg(best, F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "simhash-nodes")
+    named = nodes.select("key", "n", "a", "b", F.col("best.doc_id").alias("first"), F.col("best.h").alias("h"))
+    labels = components(staged(similar_links(named, texts, similarity, shingle, radius), "simhash-links"))
+    of = nodes.join(labels, nodes["key"] == labels["node"], "left").groupBy(F.coalesce("label", "key").alias("group")).agg(F.min("best").alias("best"))
+    key, h = unused(docs, "__id", "__h")
+    keep = staged(of.select(F.col("best.doc_id").alias(key), F.col("best.h").alias(h), F.col("best.times").alias("times")), "simhash-kept")
+    same = docs["doc_id"].eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col(h))
+    # merge joins at every size: the survivors' ids grow with the corpus and are never broadcast
+    single = docs.join(keep.filter("times = 1").hint("merge"), same, "left_semi")
+    more = docs.join(keep.filter("times > 1").hint("merge"), same, "left_semi")
+    return single.unionByName(more.withColumn(h, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", h]).drop(h)).select(*docs.columns)
