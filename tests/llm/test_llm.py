@@ -278,6 +278,21 @@ def test_substring_cuts_a_copied_passage(spark):
     assert got[1] == rows[0][1] and "word5" not in got[2] and got[2].endswith("End of two.")
 
 
+def test_passages_that_begin_and_end_inside_sentences_are_removed(spark):
+    rnd = random.Random(7)
+    word = lambda: f"k{rnd.randrange(10**7)}"
+    long = [word() for _ in range(50)]
+    p = " ".join(long)
+    q = [word() + (". And" if i % 7 == 6 else "") for i in range(60)]
+    rows = [(1, f"Own {p} rest of one sentence"), (2, f"Other start {p.upper()} other end"), (3, f"Start {' '.join(q)} and more."), (4, f"Begin {' '.join(q)} or less."), (5, " ".join(long[:20]) + " short copies stay")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring.repeated_passages(df).collect()}
+    assert set(got) == {2, 4} and got[2]["kept_in"] == [1] and got[4]["kept_in"] == [3] and got[2]["n_units"] == 0 and 25 <= got[2]["n_words"] <= 50
+    left = {r["doc_id"]: r["text"] for r in substring.deduplicated(df).collect()}
+    assert all(left[i] == t for i, t in rows if i not in (2, 4)) and left[4].startswith("Begin ") and left[4].endswith("less.") and len(left[4].split()) < 40
+    assert substring.repeated_passages(empty(spark)).count() == 0
+
+
 def test_license(spark):
     mit = next(t for i, t in license.KNOWN if i == "MIT" and len(t) > 500)
     rows = [(1, "Copyright (c) 2020 Somebody\n" + mit.upper().replace(" ", "\n ")), (2, mit[:-10]), (3, "text\nlicensed under the apache LICENCE version 2.0\nmore"), (4, None), (5, "")]

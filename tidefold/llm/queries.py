@@ -42,7 +42,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_runs(_docs(spark, sf_dir))
+    return substring.repeated_passages(_docs(spark, sf_dir))
 
 
 def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,11 @@ digits become one space) and hashed to 128 bits. Occurrences rank by (doc_id, po
 kept, all others are repeats. Consecutive repeats of a document form a run, which is removed when it holds at
 least min_words words: short formulas that recur by chance stay. Runs carry their offsets in the original text.
 
+A passage may begin and end inside units, or lie within one. So windows of WINDOW words, picked by winnowing (the
+least hash of each SPREAD neighbours), are hashed and ranked as units are; a repeated window is removed too, and
+overlapping cuts are one passage. Two texts that share WINDOW + SPREAD - 1 words share a picked window, so no such
+copy stays whole; fewer than SPREAD words may stay at either end.
+
 Null and empty texts have no units. A null doc_id ranks last. Repeated rows (equal doc_id and text) have equal
 ranks and are both treated as that one document. Only doc_id and text are read. An empty table gives no rows.
 """
@@ -21,15 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import own_key, staged, unused
+from tidefold.llm.common import staged, unused
 
 #: A run of repeated units is removed from so many words on.
 MIN_WORDS = 25
 #: Units of fewer words are left out of the count and never break a run.
 UNIT_WORDS = 3
 
+#: Words of a hashed window, and of how many neighbouring windows the least is taken: every 50 shared words hold one.
+WINDOW, SPREAD = 25, 26
+
 UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*[.!?]*")
 _APART = re.compile(r"[\W_]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def normalised(unit: str) -> str:
@@ -60,17 +69,87 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([ids, ints(no), ints(starts), ints(ends), ints(counts), longs(d1), longs(d2)], ["doc_id", "unit", "s", "e", "n", "d1", "d2"])
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start, end, n_units, n_words, kept_in: each removed run, with the documents that keep its units' first occurrences."""
+def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The picked windows' first words, and the two 64-bit halves of their hashes."""
+    n = len(words) - WINDOW + 1
+    if n < 1:
+        return np.empty(0, dtype=np.int64), np.empty((0, 2), dtype=np.uint64)
+    w = np.array([xxhash.xxh3_64_intdigest(x) for x in words], dtype=np.uint64)
+    h = np.zeros((n, 2), dtype=np.uint64)
+    for j in range(WINDOW):
+        h = h * _FACTORS + w[j : j + n, None]
+    h ^= h >> np.uint64(29)
+    h *= _FACTORS
+    h ^= h >> np.uint64(32)
+    at = np.unique(np.arange(max(1, n - SPREAD + 1)) + np.lib.stride_tricks.sliding_window_view(h[:, 0], min(SPREAD, n)).argmin(axis=1))
+    return at, h[at]
+
+
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+
+
+def _marked(batches):
+    """Units (window false) and picked windows (window true), with their length, and the place v and number of their words among the text's."""
+    for batch in batches:
+        out = [[] for _ in range(10)]
+        for r, text in enumerate(batch.column("text").to_pylist()):
+            found = list(_WORD.finditer(text))
+            starts, ends = np.array([m.start() for m in found], dtype=np.int64), [m.end() for m in found]
+            at, h = windows([unicodedata.normalize("NFKC", m.group()).lower() for m in found])
+            rows = [(r, True, i, int(starts[i]), ends[i + WINDOW - 1] - int(starts[i]), WINDOW, a, b, i, WINDOW) for i, (a, b) in zip(at.tolist(), h.tolist())]
+            for i, (a, b, n, form) in enumerate(units(text)):
+                d = xxhash.xxh3_128_intdigest(form)
+                v, w = np.searchsorted(starts, (a, b)).tolist()
+                rows.append((r, False, i, a, b - a, n, d >> 64, d & 0xFFFFFFFFFFFFFFFF, v, w - v))
+            for col, values in zip(out, zip(*rows)):
+                col.extend(values)
+        ints, longs = (lambda x: pa.array(x, pa.int32())), (lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64)))
+        ids = batch.column("doc_id").take(pa.array(out[0], pa.int64()))
+        cols = [ids, pa.array(out[1], pa.bool_()), *map(ints, out[2:6]), *map(longs, out[6:8]), *map(ints, out[8:])]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "window", "unit", "s", "length", "n", "d1", "d2", "v", "held"])
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, start, end, n_units, n_words, kept_in: each removed passage, the union of repeated runs and windows that overlap.
+
+    n_units counts the whole units of its runs, n_words the words of the passage.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text") != "")
-    rows = staged(texts.mapInArrow(_cut, f"doc_id {kind}, unit int, s int, e int, n int, d1 long, d2 long"), "substring-units")
+    rows = staged(texts.mapInArrow(_marked, f"doc_id {kind}, window boolean, unit int, s int, length int, n int, d1 long, d2 long, v int, held int"), "substring-marked")
+    again = _again(rows, "window", "s", "length", "n", "v", "held")
+    again = staged(again.withColumns({"e": F.col("s") + F.col("length"), "w": F.col("v") + F.col("held")}).drop("length", "held"), "substring-again")
+    ends = [F.min("s").cast("long").alias("start"), F.max("e").cast("long").alias("end"), F.min("v").alias("v"), F.max("w").alias("w")]
+    by_doc = Window.partitionBy("doc_id").orderBy("unit")
+    runs = again.filter(~F.col("window")).withColumn("run", F.col("unit") - F.row_number().over(by_doc)).groupBy("doc_id", "run").agg(
+        *ends, F.count(F.lit(1)).alias("units"), F.sum("n").alias("words"), F.collect_set("keeper").alias("keepers"))
+    runs = runs.filter(F.col("words") >= min_words).drop("run", "words")
+    cut = again.filter("window").select("doc_id", F.col("s").cast("long").alias("start"), F.col("e").cast("long").alias("end"), "v", "w", F.lit(0).cast("long").alias("units"), F.array("keeper").alias("keepers"))
+    in_order = Window.partitionBy("doc_id").orderBy("start", "end")
+    spans = runs.unionByName(cut).withColumn("reach", F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
+    spans = spans.withColumn("passage", F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy("doc_id", "passage").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("units").alias("n_units"), (F.max("w") - F.min("v")).cast("long").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("keepers")))).alias("kept_in")).drop("passage")
+
+
+def _again(rows: DataFrame, *more: str) -> DataFrame:
+    """doc_id, unit, the columns named and keeper: the occurrences after the first, once each."""
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("unit"))
     first = rows.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > 1)
-    first = _afresh(first)
-    keyed = rows.withColumn("k", _digest_key())
-    same = keyed.join(first, keyed["k"] == first["k2"]).filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.unit") == F.col("unit"))))
-    again = same.select("doc_id", "unit", "s", "e", "n", F.col("first.doc_id").alias("keeper")).distinct()
+    # joined on the digests' complements: both sides are dealt anew, so that a hot digest's rows may be split
+    first = first.select(F.bitwise_not("d1").alias("c1"), F.bitwise_not("d2").alias("c2"), "first")
+    keyed = rows.withColumns({"k1": F.bitwise_not("d1"), "k2": F.bitwise_not("d2")})
+    same = keyed.join(first, (keyed["k1"] == first["c1"]) & (keyed["k2"] == first["c2"])).filter(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.unit") == F.col("unit"))))
+    return same.select("doc_id", "unit", *more, F.col("first.doc_id").alias("keeper")).distinct()
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, start, end, n_units, n_words, kept_in: each run of whole units to remove, with the documents that keep its units' first occurrences."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text") != "")
+    rows = staged(texts.mapInArrow(_cut, f"doc_id {kind}, unit int, s int, e int, n int, d1 long, d2 long"), "substring-units")
+    again = _again(rows, "s", "e", "n")
     by_doc = Window.partitionBy("doc_id").orderBy("unit")
     runs = again.withColumn("run", F.col("unit") - F.row_number().over(by_doc)).groupBy("doc_id", "run").agg(
         F.min("s").cast("long").alias("start"), F.max("e").cast("long").alias("end"), F.count(F.lit(1)).alias("n_units"),
@@ -79,18 +158,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return runs.filter(F.col("n_words") >= min_words).drop("run")
 
 
-def _digest_key():
-    return F.concat(F.hex("d1"), F.lit(":"), F.hex("d2"))
-
-
-def _afresh(first: DataFrame) -> DataFrame:
-    return first.select(_digest_key().alias("k0"), "first").select(own_key("k0").alias("k2"), "first")
-
-
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the repeated runs cut out of text; documents without any stay as they are, and so do other columns."""
+    """docs with the repeated passages cut out of text; documents without any stay as they are, and so do other columns."""
     key, cuts = unused(docs, "__id", "__runs")
-    runs = repeated_runs(docs, min_words).groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    runs = repeated_passages(docs, min_words).groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts))
     both = docs.join(runs, docs["doc_id"].eqNullSafe(runs[key]), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     upto = lambda a, b: F.substring("text", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
