@@ -37,3 +37,13 @@ def test_query(spark, con, name):
     names = [c[0] for c in cur.description]
     assert sorted(names) == cols
     assert rows == sorted((tuple(norm(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
+
+
+def test_pull_takes_the_whole_log(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("user_id", "ts", "event_id").collect()
+    want, at = [], {}
+    for r in sorted(events, key=lambda r: (r["ts"], r["event_id"])):
+        at[r["user_id"]] = at.get(r["user_id"], 0) + 1
+        want.append((r["user_id"], r["event_id"], at[r["user_id"]]))
+    got = catalogue.queries()["s13_pull_logs"](spark, DATA).collect()
+    assert len(want) > 200 and sorted(map(tuple, got)) == sorted(want)

@@ -192,6 +192,15 @@ def _(t):
     return Q.rga_materialize(ops).select(F.col("value").cast("long").alias("record_id"), (F.col("pos") + 1).alias("pos"))
 
 
+@query("s13_pull_logs", "SELECT user_id, event_id AS record_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events")
+def _(t):
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ops = t.events.select(F.col("user_id").alias("doc"), F.lit("insert").alias("kind"), F.row_number().over(by_user).cast("long").alias("lamport"), F.lit("r").alias("replica"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("value"))
+    prev = Window.partitionBy("doc").orderBy("lamport")
+    ops = ops.withColumns({"after_lamport": F.lag("lamport").over(prev), "after_replica": F.lag("replica").over(prev), "after_seq": F.lag("seq").over(prev)})
+    return Q.rga_materialize(ops).select(F.col("doc").alias("user_id"), F.col("value").cast("long").alias("record_id"), (F.col("pos") + 1).alias("pos"))
+
+
 @query("s16_digest", """WITH m AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
 j AS (SELECT user_id::VARCHAR || chr(31) || to_json(list({'key': event_type, 'value': n} ORDER BY event_type))::VARCHAR AS c FROM m GROUP BY user_id)
 SELECT sum(('0x' || substr(md5(c), 1, 15))::BIGINT)::VARCHAR AS root, count(*) AS n FROM j""")
