@@ -47,3 +47,10 @@ def test_pull_takes_the_whole_log(spark):
         want.append((r["user_id"], r["event_id"], at[r["user_id"]]))
     got = catalogue.queries()["s13_pull_logs"](spark, DATA).collect()
     assert len(want) > 200 and sorted(map(tuple, got)) == sorted(want)
+
+
+def test_enrolment_is_judged_over_the_whole_log(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("event_id", "user_id", "event_type").collect()
+    last = {r["user_id"]: r["event_type"] != "error" for r in sorted(events, key=lambda r: r["event_id"])}
+    got = catalogue.queries()["l11_enrolled_log"](spark, DATA).filter("quarter = 4").collect()
+    assert len(events) > 600 and sorted(r["member"] for r in got) == sorted(u for u, on in last.items() if on)

@@ -643,6 +643,14 @@ def _(t):
     return G.enrolled_at(t.events.select(F.col("event_id").alias("idx"), F.col("user_id").alias("member"), (F.col("event_type") != "error").alias("enrolled")), 600)
 
 
+@query("l11_enrolled_log", """WITH c AS (SELECT q, max(event_id) * q // 4 AS upto FROM events, range(1, 5) r(q) GROUP BY q)
+SELECT q::INTEGER AS quarter, user_id AS member FROM events JOIN c ON event_id <= upto GROUP BY q, user_id HAVING arg_max(event_type <> 'error', event_id)""")
+def _(t):
+    last = t.events.agg(F.max("event_id")).first()[0] or 0  # one row
+    log = t.events.select(F.col("event_id").alias("idx"), F.col("user_id").alias("member"), (F.col("event_type") != "error").alias("enrolled"))
+    return L.piece(*(G.enrolled_at(log, last * q // 4).select(F.lit(q).alias("quarter"), "member") for q in range(1, 5)))
+
+
 @query("l13_health", "SELECT event_type, count(*) FILTER (event_id % 5 = 0) AS accepted, count(*) FILTER (event_id % 5 = 1) AS failed, count(*) FILTER (event_id % 5 = 2) AS dropped, count(*) FILTER (event_id % 5 = 3) AS refused, count(*) FILTER (event_id % 5 = 4) AS deduplicated FROM events GROUP BY 1")
 def _(t):
     names = F.array(*map(F.lit, ("accepted", "failed", "dropped", "refused", "deduplicated")))
