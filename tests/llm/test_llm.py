@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -89,7 +90,7 @@ def test_pii_masks_and_generalises_revealing_terms(spark):
 
 def test_working_names_leave_clashing_columns_alone(spark):
     p = "A passage of more than a few words that two documents share, " + " ".join(f"word{i}" for i in range(30)) + "."
-    names = ("__base", "__id", "__h", "__terms", "__runs")
+    names = ("__base", "__id", "__h", "__terms", "__cuts")
     df = spark.createDataFrame([(1, f"{p} jo@x.org", *"abcde"), (2, f"Own. {p} end", *"fghij")], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
     for out in (pii.sanitised(df), substring.deduplicated(df)):
         assert out.columns == df.columns
@@ -250,32 +251,127 @@ def test_toxicity_isotonic_is_monotone():
     assert (np.diff(at) > 0).all() and (np.diff(rate) >= 0).all() and abs(np.interp(m, at, rate).sum() - 3) < 1
 
 
-def test_substring(spark, docs, texts):
-    seen, want = {}, collections.defaultdict(list)
-    for i, t in sorted({(i, t) for i, t in texts}, key=lambda x: (x[0] is None, x[0])):
-        for no, (a, b, n, form) in enumerate(substring.units(t)):
-            if form in seen and seen[form] != (i, no):
-                want[i].append((no, a, b, n))
-            seen.setdefault(form, (i, no))
-    runs = []
-    for i, parts in want.items():
-        run = []
-        for p in parts + [(None,) * 4]:
-            if run and p[0] != run[-1][0] + 1:
-                if sum(x[3] for x in run) >= substring.MIN_WORDS:
-                    runs.append((i, run[0][1], run[-1][2], len(run), sum(x[3] for x in run)))
-                run = []
-            run.append(p)
-    same(substring.repeated_runs(docs).select("doc_id", "start", "end", "n_units", "n_words").collect(), runs)
-    assert substring.repeated_runs(empty(spark)).count() == 0
-    assert substring.deduplicated(docs).count() == len(texts)
-
-
-def test_substring_cuts_a_copied_passage(spark):
-    p = "The passage begins here with many words in it. " + " ".join(f"word{i}" for i in range(30)) + ". It ends with some more words."
-    rows = [(1, f"Own opening of one. {p} Own closing."), (2, f"Another start in the middle {p}\nEnd of two.")]
-    got = {r["doc_id"]: r["text"] for r in substring.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == rows[0][1] and "word5" not in got[2] and got[2].endswith("End of two.")
+def plain_words(t):
+    """Words with their places, written without the module's tables: (start, end, form)."""
+    out, at = [], None
+    for i, c in enumerate(t + "\0"):
+        inside = c.isalnum() or unicodedata.category(c).startswith("M")
+        if inside and at is None:
+            at = i
+        if not inside and at is not None:
+            form = unicodedata.normalize("NFKC", t[at:i])
+            out.append((at, i, "".join(x.lower() if len(x.lower()) == 1 else x for x in form)))
+            at = None
+    return out
+
+
+def rank(row):
+    i, t = row
+    return i is None, i if i is not None else 0, hash_of[t]
+
+
+hash_of = {}
+
+
+def brute_units(spark, rows, split):
+    """Per document (doc_id, text): start, end of every unit that is not the earliest of its words, and who keeps it."""
+    every = list(dict.fromkeys(t for _, t in rows))
+    hash_of.update(zip(every, [r[0] for r in spark.createDataFrame([(t,) for t in every], "t string").select(F.xxhash64("t")).collect()]))
+    first, want = {}, {}
+    for row in sorted(dict.fromkeys(rows), key=rank):
+        for a, b in split(row[1]):
+            form = tuple(w for _, _, w in plain_words(row[1][a:b]))
+            if form and form in first:
+                want.setdefault(row, []).append((a, b, first[form]))
+            elif form:
+                first[form] = row[0]
+    return want
+
+
+def lines_of(t):
+    at = 0
+    for line in t.split("\n"):
+        yield at, at + len(line)
+        at += len(line) + 1
+
+
+def brute_windows(rows, n=substring.WINDOW):
+    """How many documents and places hold each run of n words."""
+    out = collections.Counter()
+    for row in dict.fromkeys(rows):
+        w = [x for _, _, x in plain_words(row[1])]
+        out.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    return out
+
+
+P24 = " ".join(f"word{i}" for i in range(24))
+SHARED_IDS = [(1, P24), (2, "Alpha head of its own stays here\n" + P24), (2, P24 + "\nKeep this tail of two"), (None, "Nobody's\n" + P24), (None, "No one's\n" + P24 + "\nNobody's"), (None, "")]
+
+
+def test_substring_units_against_brute_force(spark, docs, texts):
+    rows = [(i, t) for i, t in texts] + SHARED_IDS + [(77, "cafe\u0301 ｆｕｌｌ\nİx ﬁne\n\n!!\n"), (78, "Café, FULL!\nfine\nİX FINE\nCafé full"), (79, "a\n\nb c\n\n\nb c\na")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_units(spark, rows, lines_of)
+    got = collections.defaultdict(set)
+    for r in substring.repeats(df).filter("not window").collect():
+        got[r["doc_id"], r["h"]].add((r["s"], r["e"], r["keeper"]))
+    assert dict(got) == {(i, hash_of[t]): set(x) for (i, t), x in want.items()} and sum(map(len, want.values())) > 100
+    short = [(79, "a\n\nb c\n\n\nb c\na"), (80, "B c\n\nown"), (81, "own")]
+    found = {(r["doc_id"], r["s"], r["e"]) for r in substring.repeats(spark.createDataFrame(short, "doc_id long, text string"), unit="paragraph").collect()}
+    assert found == {(80, 0, 3), (81, 0, 3)}
+    found = substring.repeats(spark.createDataFrame([(1, "One here. Two there! Three"), (2, "two THERE. Own")], "doc_id long, text string"), unit="sentence").collect()
+    assert [(r["doc_id"], r["s"], r["e"]) for r in found] == [(2, 0, 10)]
+
+
+def test_substring_windows_against_brute_force(spark, texts):
+    rows = [(i, t) for i, t in texts if i is not None]
+    held = brute_windows(rows)
+    first, n = {}, substring.WINDOW
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts = collections.defaultdict(list)
+    for r in substring.passages(df).collect():
+        cuts[r["doc_id"]].append((r["start"], r["end"]))
+    text = dict(rows)
+    for r in substring.repeats(df).filter("window").collect():  # nothing is removed that does not repeat
+        form = tuple(x for _, _, x in plain_words(text[r["doc_id"]][r["s"] : r["e"]]))
+        assert len(form) == n and held[form] > 1
+    missed = met = 0
+    for i, t in sorted(text.items()):  # 50 words that an earlier document holds never stay whole
+        w = plain_words(t)
+        long = [tuple(x for _, _, x in w[j : j + 50]) for j in range(len(w) - 49)]
+        for j, form in enumerate(long):
+            if first.get(form, i) != i:
+                met += 1
+                missed += not any(a < w[j + 49][1] and b > w[j][0] for a, b in cuts[i])
+            first.setdefault(form, i)
+    assert met > 500 and not missed
+
+
+def test_substring_keeps_texts_that_share_an_id_apart(spark):
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in SHARED_IDS + SHARED_IDS[1:2]], "doc_id long, text string, h string, s int")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in substring.deduplicated(df).collect())
+    tail = collections.Counter([(1, P24), (2, "Alpha head of its own stays here\n"), (2, "Alpha head of its own stays here\n"), (2, "\nKeep this tail of two"), (None, "")])
+    nobody = sorted(t for i, t in got.elements() if i is None and t)
+    assert got - tail == collections.Counter((None, t) for t in nobody) and P24 not in "".join(nobody) and sum("Nobody's" in t for t in nobody) == 1
+    report = substring.repeated_passages(df).collect()
+    assert {(r["doc_id"], r["n_words"], r["spans"]) for r in report if r["doc_id"]} == {(2, 24, f"33:{33 + len(P24)}"), (2, 24, f"0:{len(P24)}")}
+    assert all(r["kept_in"] == [1] for r in report if r["doc_id"])
+
+
+def test_substring_edge_rows(spark):
+    assert substring.repeated_passages(empty(spark)).count() == 0 and substring.deduplicated(empty(spark)).columns == ["doc_id", "text", "n_words", "h"]
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, " \n\t\n"), (None, None), (4, "..."), (5, "...")], "doc_id long, text string")
+    assert substring.repeated_passages(odd).count() == 0
+    same(substring.deduplicated(odd).collect(), list(map(tuple, odd.collect())))
+    long = "\n".join(f"line {i % 50_000}" for i in range(100_000))
+    word = "x" * 300_000
+    df = spark.createDataFrame([(1, long), (2, word), (3, f"own {word}\n{word.upper()}"), (4, "one two " * 100_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in substring.repeated_passages(df).collect()}
+    assert set(got) == {1, 3, 4} and got[1]["n_units"] == 50_000 and got[3]["n_units"] == 1 and got[4]["n_words"] > 199_900
+    left = {r["doc_id"]: r["text"] for r in substring.deduplicated(df).collect()}
+    assert left[1].split("\n")[:50_000] == long.split("\n")[:50_000] and not "".join(left[1].split("\n")[50_000:]) and left[3] == f"own {word}\n"
+    one = spark.createDataFrame([(1, "a b c\nd"), (2, "A, b; c.\nD")], "doc_id string, text string")
+    assert [(r["doc_id"], r["start"], r["end"]) for r in substring.passages(one, min_words=2).collect()] == [("2", 0, 8)]
 
 
 def test_passages_that_begin_and_end_inside_sentences_are_removed(spark):
@@ -290,7 +386,6 @@ def test_passages_that_begin_and_end_inside_sentences_are_removed(spark):
     assert set(got) == {2, 4} and got[2]["kept_in"] == [1] and got[4]["kept_in"] == [3] and got[2]["n_units"] == 0 and 25 <= got[2]["n_words"] <= 50
     left = {r["doc_id"]: r["text"] for r in substring.deduplicated(df).collect()}
     assert all(left[i] == t for i, t in rows if i not in (2, 4)) and left[4].startswith("Begin ") and left[4].endswith("less.") and len(left[4].split()) < 40
-    assert substring.repeated_passages(empty(spark)).count() == 0
 
 
 def test_license(spark):
