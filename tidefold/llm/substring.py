@@ -36,6 +36,8 @@ from tidefold.llm.common import staged, unused
 WINDOW, SPREAD = 25, 26
 #: What parts a text into units; None stands for line breaks, which need no pattern.
 UNITS = {"line": None, "paragraph": re.compile(r"\n[^\S\n]*\n\s*"), "sentence": re.compile(r"\n|(?<=[.!?])\s+")}
+#: Digests whose keeper's doc_id several texts share: up to so many are broadcast, beyond it they are joined by a shuffle.
+BROADCAST_TIES = 100_000
 #: Characters of the texts whose rows make one Arrow batch.
 SLICE = 1_000_000
 
@@ -192,8 +194,9 @@ def repeats(docs: DataFrame, unit: str = "line") -> DataFrame:
     same = staged(same, "substring-same")
     # texts that share the keeper's doc_id: the least hash is the earliest
     lead = same.filter(F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("k1", "k2").agg(F.min("h").alias("lead"), F.max("h").alias("last"))
-    tied = lead.filter(F.col("lead") != F.col("last")).select(F.col("k1").alias("t1"), F.col("k2").alias("t2"), "lead")
-    both = same.join(tied, (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")), "left")
+    tied = staged(lead.filter(F.col("lead") != F.col("last")).select(F.bitwise_not("k1").alias("t1"), F.bitwise_not("k2").alias("t2"), "lead"), "substring-tied")
+    few = tied.count() <= BROADCAST_TIES
+    both = same.withColumns({"k1": F.bitwise_not("k1"), "k2": F.bitwise_not("k2")}).join(F.broadcast(tied) if few else tied.hint("merge"), (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2")), "left")
     earliest = F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("lead").isNull() | (F.col("h") == F.col("lead"))) & ~F.col("again")
     return both.filter(~earliest).select("doc_id", "h", "s", "e", "v", "n", "window", "keeper")
 
