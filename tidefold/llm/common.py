@@ -61,30 +61,64 @@ def own_key(name: str) -> Column:
     return F.concat(F.col(name), F.lit(""))
 
 
+#: Elements that one inner fold of scanned() takes.
+FOLD = 512
+
+
+def scanned(rows: Column, state: Column, made: str, step, within=None) -> Column:
+    """struct<at, out>: a fold over the array rows that emits as it goes. step(at, x[, w]) gives the next state and an array to emit.
+
+    Built-in folds copy what they have gathered at each step, so rows go in blocks of FOLD: the copies
+    stay short, and n rows cost about n * FOLD / 2 moves. within(at, block), if given, is evaluated once a block
+    and handed to step. made is the type of the emitted array.
+    """
+
+    def fold(at: Column, block: Column, w: Column | None) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            then, more = step(acc["at"], x) if w is None else step(acc["at"], x, w)
+            return F.struct(then.alias("at"), F.concat(acc["out"], more).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(made).alias("out")), one)
+
+    def outer(acc: Column, block: Column) -> Column:
+        inner = fold(acc["at"], block, None) if within is None else let(within(acc["at"], block), lambda w: fold(acc["at"], block, w))
+        return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    def blocks(r: Column) -> Column:
+        starts = F.when(F.size(r) > 0, F.sequence(F.lit(1), F.size(r), F.lit(FOLD))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(r, i, F.lit(FOLD)))
+
+    start = F.struct(state.alias("at"), F.array().cast(f"array<{made}>").alias("out"))
+    return F.aggregate(let(rows, blocks), start, outer, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")))
+
+
 _SPANS = "array<struct<s:int,e:int>>"
 
 
-def spans_of(text: Column, pattern: str, keep=None, group: int | None = None) -> Column:
-    """Leftmost non-overlapping matches of a Java pattern as array<struct<s, e>> in code points.
+def matches(text: Column, pattern: str, keep=None, group: int | None = None) -> Column:
+    """Leftmost non-overlapping matches of a Java pattern as array<struct<s, e, w>>: start, end in code points, the match.
 
     Splitting by the pattern and extracting its matches walk over the same matches, so the pieces'
     lengths add up to the positions. keep(match, group) drops matches afterwards, without a retry.
     """
-    pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    rows = F.zip_with(
-        F.slice(pieces, F.lit(1), F.size(whole)),
-        F.zip_with(whole, part, lambda w, g: F.struct(F.char_length(w).alias("n"), (keep(w, g) if keep else F.lit(True)).alias("ok"))),
-        lambda p, h: F.struct(F.char_length(p).alias("p"), h["n"].alias("n"), h["ok"].alias("ok")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["p"]
-        one = F.array(F.struct(s.alias("s"), (s + x["n"]).alias("e")))
-        return F.struct((s + x["n"]).alias("at"), F.when(x["ok"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
+    ok = lambda w, g: (keep(w, g) if keep else F.lit(True)).alias("ok")
+    found = F.zip_with(whole, part, lambda w, g: F.struct(w.alias("w"), ok(w, g))) if group else F.transform(whole, lambda w: F.struct(w.alias("w"), ok(w, w)))
+    # there is one piece more than there are matches
+    rows = F.zip_with(F.split(text, pattern, -1), found, lambda p, f: F.struct(F.char_length(p).alias("p"), f["w"].alias("w"), f["ok"].alias("ok")))
+
+    def step(at: Column, x: Column):
+        s, e = at + x["p"], at + x["p"] + F.char_length(x["w"])
+        one = F.array(F.struct(s.alias("s"), e.alias("e"), x["w"].alias("w")))
+        return F.coalesce(e, s), F.when(x["ok"], one).otherwise(F.array().cast("array<struct<s:int,e:int,w:string>>"))
+
+    return scanned(rows, F.lit(0), "array<struct<s:int,e:int,w:string>>", step)["out"]
+
+
+def spans_of(text: Column, pattern: str, keep=None, group: int | None = None) -> Column:
+    """The places of matches() alone: array<struct<s, e>>."""
+    return F.transform(matches(text, pattern, keep, group), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))
 
 
 def spans_if(guard: Column, spans: Column) -> Column:
