@@ -9,6 +9,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -94,21 +95,92 @@ def test_secret_linking_needs_a_complement_in_scope(spark):
     assert got == {1: "", 2: "identifier:0:15,weak_secret:16:56", 3: "", 4: "", 5: "endpoint:0:23,weak_secret:24:64"}
 
 
-def test_pii(spark, docs, texts):
+def brute_pii(t):
+    """(kind, start, end, entity) of each mention, by kind and start."""
     luhn = lambda s: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [("email", m, m[0].lower()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m, m[0]) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m, digits(m)) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [("phone", m, digits(m)) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
+    return [(k, m.start(), m.end(), f"{k}:{e}") for k, m, e in out]
+
+
+def brute_terms(rows, block, support=3, disclosure=0.9):
+    """The disclosing terms' spans of each document, with every pair of a mention and a word looked at."""
+    rows = list(dict.fromkeys(rows))
+    n, said, words, df_t = len(rows), {}, {}, collections.Counter()
+    for row in rows:
+        said[row] = {(e, a // block) for _, a, _, e in brute_pii(row[1])}
+        words[row] = [(m.start(), m.end(), m[0].lower()) for m in regex.finditer(pii.TOKEN, row[1]) if regex.fullmatch(r"[\p{L}\p{N}]+", m[0])]
+        df_t.update({w for w in regex.split(r"[^\p{L}\p{N}]+", row[1].lower()) if w})
+    df_c, pairs = collections.Counter(e for x in said.values() for e in {e for e, _ in x}), collections.defaultdict(set)
+    for row in rows:
+        for e, at in said[row]:
+            for a, _, w in words[row]:
+                if abs(a // block - at) <= 1:
+                    pairs[e, w].add(row)
+    reveal = collections.defaultdict(set)
+    for (e, w), held in pairs.items():
+        least = {min(xxhash.xxh64_intdigest(x.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(x.encode(), 42) >> 63) for _, _, x in words[r]) for r in held}
+        ic, pmi = np.log(n / df_c[e]), np.log(len(held) * n / (df_c[e] * df_t[w]))
+        if min(len({t for _, t in held}), len(least)) >= support and ic > 0 and pmi >= disclosure * ic - 1e-9:
+            reveal[e].add(w)
+    out = {}
+    for row in rows:
+        mine = {w for e, _ in said[row] for w in reveal[e]}
+        out[row] = [(a, b) for a, b, w in words[row] if w in mine]
+    return out
+
+
+def brute_masked(t, spans):
+    out, at = "", 0
+    for a, b, k in sorted(spans, key=lambda x: (x[0], "email ip card phone term".split().index(x[2]), x[1])):
+        if a >= at:
+            out += t[at:a] + f"<{k.upper()}>"
+        at = max(at, b)
+    return out + t[at:]
 
-    def base(t):
-        digits = lambda m: re.sub("[^0-9]", "", m[0])
-        out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-        out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
-        out += [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
-        out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
-        return ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in out)
 
-    same(pii.pii(docs).select("doc_id", joined(F.col("base"))).collect(), [(i, base(t)) for i, t in texts])
+def test_pii(spark, docs, texts):
+    want = [(i, ",".join(f"{k}:{a}:{b}" for k, a, b, _ in brute_pii(t))) for i, t in texts]
+    same(pii.pii(docs).select("doc_id", joined(F.col("base"))).collect(), want)
     assert pii.pii(empty(spark)).count() == 0 and pii.sanitised(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("block", [2000, 60])
+def test_pii_terms_and_masks_against_brute_force(spark, texts, monkeypatch, block):
+    """Documents and planted mentions: terms, spans and masked texts equal those found by looking at all pairs."""
+    monkeypatch.setattr(pii, "BLOCK", block)
+    rnd = random.Random(4)
+    people = [(f"jo{i}@mail{i}.org", f"Zyx{i} Wauq{i}", f"+1 415 555 26{i:02}") for i in range(8)]
+    rows = [(i, t) for i, t in texts if len(t) < 3000][:150]
+    for j in range(90):
+        mail, name, phone = people[j % 8]
+        filler = lambda n: " ".join(f"v{rnd.randrange(400)}" for _ in range(n))
+        rows.append((10**8 + j, f"{filler(rnd.randrange(30))}\n{name if j % 3 else ''} {filler(9)} {mail} {filler(rnd.randrange(40))} {name.lower()} {phone if j % 2 else '4111 1111 1111 1111'}"))
+    rows += [rows[-1], (None, rows[-2][1]), (10**8, rows[-3][1])]
+    want = brute_terms(rows, block)
+    assert sum(map(bool, want.values())) > 40
+    df = spark.createDataFrame([(i, t, len(t), "k") for i, t in rows], "doc_id long, text string, n_chars int, t string")
+    got = [(r["doc_id"], tuple((x["k"], x["s"], x["e"]) for x in r["all"])) for r in pii.pii(df).collect()]
+    spans = {row: [(a, b, k) for k, a, b, _ in brute_pii(row[1])] + [(a, b, "term") for a, b in want[row]] for row in want}
+    same(got, [(row[0], tuple((k, a, b) for a, b, k in spans[row])) for row in rows])
+    masked = [(row[0], brute_masked(row[1], spans[row]), "k") for row in rows]
+    same(pii.sanitised(df).select("doc_id", "text", "t").collect(), masked)
+    assert pii.sanitised(df).filter("n_chars <> length(text)").count() == 0
+
+
+def test_pii_of_very_long_texts(spark):
+    rows = [(1, " ".join(f"user{i}@mail.org n{i}" for i in range(20_000))), (2, "1-" * 200_000), (3, "a." * 100_000 + "@" + "b." * 100_000 + "c"), (4, "+1" + " 2" * 200_000)]
+    rows += [(5 + j, "jo@x.org " * 3000 + f"plain{j}") for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in pii.pii(df).collect()}
+    assert got[1] == (20_000, 0, 0, 0) and got[2] == got[4] == (0, 0, 0, 0) and got[3] == (1, 0, 0, 0) and got[5] == (3000, 0, 0, 0)
+    left = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert left[1] == " ".join(f"<EMAIL> n{i}" for i in range(20_000)) and left[2] == rows[1][1] and left[3] == "<EMAIL>" and left[5] == "<EMAIL> " * 3000 + "plain0"
+
+
 def test_pii_masks_and_generalises_revealing_terms(spark):
     filler = ["lorem ipsum dolor", "sit amet tempor", "magna aliqua elit", "quis nostrud velit"]
     rows = [(i, f"{filler[i % 4]} number{i} zyxwa write to jo@x.org about case{i} today") for i in range(4)] + [(10 + i, f"about to write today {filler[i % 4]} plain{i}") for i in range(40)]

@@ -92,7 +92,7 @@ def scanned(rows: Column, state: Column, made: str, step, within=None) -> Column
     return F.aggregate(let(rows, blocks), start, outer, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")))
 
 
-_SPANS = "array<struct<s:int,e:int>>"
+_SPANS, _MATCHES = "array<struct<s:int,e:int>>", "array<struct<s:int,e:int,w:string>>"
 
 
 def matches(text: Column, pattern: str, keep=None, group: int | None = None) -> Column:
@@ -111,9 +111,9 @@ def matches(text: Column, pattern: str, keep=None, group: int | None = None) ->
     def step(at: Column, x: Column):
         s, e = at + x["p"], at + x["p"] + F.char_length(x["w"])
         one = F.array(F.struct(s.alias("s"), e.alias("e"), x["w"].alias("w")))
-        return F.coalesce(e, s), F.when(x["ok"], one).otherwise(F.array().cast("array<struct<s:int,e:int,w:string>>"))
+        return F.coalesce(e, s), F.when(x["ok"], one).otherwise(F.array().cast(_MATCHES))
 
-    return scanned(rows, F.lit(0), "array<struct<s:int,e:int,w:string>>", step)["out"]
+    return scanned(rows, F.lit(0), _MATCHES, step)["out"]
 
 
 def spans_of(text: Column, pattern: str, keep=None, group: int | None = None) -> Column:
@@ -121,8 +121,9 @@ def spans_of(text: Column, pattern: str, keep=None, group: int | None = None) ->
     return F.transform(matches(text, pattern, keep, group), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))
 
 
-def spans_if(guard: Column, spans: Column) -> Column:
-    return F.when(guard, spans).otherwise(F.array().cast(_SPANS))
+def spans_if(guard: Column, spans: Column, of=spans_of) -> Column:
+    """spans where the guard holds, else none; of: what made them, spans_of or matches."""
+    return F.when(guard, spans).otherwise(F.array().cast(_SPANS if of is spans_of else _MATCHES))
 
 
 def tagged(spans: Column, kind: str, order: int) -> Column:
