@@ -334,6 +334,25 @@ def test_bpe(spark, docs, texts):
     assert bpe.tokens(empty(spark), data, P.PATTERN).count() == 0
 
 
+def test_bpe_of_long_words():
+    """Words of 50,000 bytes against tiktoken, and mixed ones against one contraction at a time."""
+    tiktoken, P = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    data = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(data), special_tokens={})
+    codec, rnd = bpe.Codec(data, P.PATTERN), random.Random(9)
+    pick = lambda parts, n: "".join(rnd.choice(parts) for _ in range(n))
+    long = ["a" * 50_000, "ab" * 25_000, pick("etaoinshr", 50_000), pick("abcXYZqwQW", 50_000), pick(["the", "an", "in", "tion", "er"], 20_000), "=" * 50_000, "äö" * 25_000]
+    ids = codec.encode_all(long)
+    assert [x.tolist() for x in ids] == [enc.encode_ordinary(x) for x in long] and codec.decode_all(ids) == [x.encode() for x in long]
+    for _ in range(120):
+        word = pick(rnd.choice(["etaoin", "ab", ["ing", "tion", "er", "aaaa", "un", "s"], "=-", "äöß", "aabbc", ["0", "11", "2"]]), rnd.randrange(40, 300)).encode()
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while pairs := [(codec.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in codec.ranks]:
+            _, i = min(pairs)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert np.frombuffer(codec.contract_long(word), "<u4").tolist() == [codec.ranks[x] for x in parts]
+
+
 def test_toxicity(spark):
     docs, labels = spark.read.parquet(DATA.replace("0.001", "0.1") + "/documents.parquet"), spark.read.parquet(DATA.replace("0.001", "0.1") + "/labels.parquet")
     model = toxicity.train(docs, labels)
