@@ -509,14 +509,59 @@ def test_passages_that_begin_and_end_inside_sentences_are_removed(spark):
     assert all(left[i] == t for i, t in rows if i not in (2, 4)) and left[4].startswith("Begin ") and left[4].endswith("less.") and len(left[4].split()) < 40
 
 
+def wrapped(text, lead, width=72):
+    import textwrap
+
+    return "\n".join(lead + x for x in textwrap.wrap(text, width))
+
+
+MIT = next(t for i, t in license.KNOWN if i == "MIT" and len(t) > 500)
+
+
 def test_license(spark):
-    mit = next(t for i, t in license.KNOWN if i == "MIT" and len(t) > 500)
-    rows = [(1, "Copyright (c) 2020 Somebody\n" + mit.upper().replace(" ", "\n ")), (2, mit[:-10]), (3, "text\nlicensed under the apache LICENCE version 2.0\nmore"), (4, None), (5, "")]
-    got = {r["doc_id"]: (r["license_id"], r["notices"]) for r in license.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1][0] == "MIT" and got[2][0] is None and got[3] == (None, "Apache-2.0") and got[4] == got[5] == (None, "")
+    bsd = next(t for i, t in license.KNOWN if i == "BSD-3-Clause")
+    header = max((t for i, t in license.KNOWN if i == "Apache-2.0"), key=len)
+    rows = [
+        (1, "Copyright (c) 2020 Somebody\n" + MIT.upper().replace(" ", "\n ", 3)), (2, MIT[:-10]), (3, "text\nlicensed under the apache LICENCE version 2.0\nmore"), (4, None), (5, ""),
+        (6, f"import os\n\n{wrapped(MIT, '// ')}\nprint('code')"), (7, f"The MIT License (MIT)\n\nCopyright (c) 2001 A. Holder\n\n{wrapped(MIT, '')}\n"),
+        (8, f"/*\n * A file.\n *\n * Copyright 2001 by A\n *\n{wrapped(bsd, ' * ', 50)}\n */\nint x;"), (9, wrapped(header, "# ", 60) + "\nx = 1\nAll rights reserved."),
+        (10, "All rights reserved by nobody\nreleased under the MIT License and more"), (11, "..."), (3, "text\nlicensed under the apache LICENCE version 2.0\nmore"), (3, "All rights\nreserved"), (None, "All Rights Reserved!"),
+    ]
+    df = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], "doc_id long, text string, license string, h string, lines int")
+    got = collections.Counter((r["doc_id"], r["license_id"], r["n_notices"], r["notices"]) for r in license.licenses(df).collect())
+    apache = (3, None, 1, "Apache-2.0")
+    want = [(1, "MIT", 1, "MIT"), (2, None, 0, ""), apache, apache, (3, "proprietary", 1, "proprietary"), (None, "proprietary", 1, "proprietary"), (4, None, 0, ""), (5, None, 0, ""), (6, None, 1, "MIT")]
+    want += [(7, "MIT", 2, "MIT"), (8, None, 1, "BSD-3-Clause"), (9, None, 2, "Apache-2.0,proprietary"), (10, None, 0, ""), (11, None, 0, "")]
+    assert got == collections.Counter(want)
     assert license.licenses(empty(spark)).count() == 0
 
 
+def test_license_table_of_a_caller(spark, monkeypatch):
+    own = license.known_licenses(spark, [("own", "Unlimited copying permitted."), ("z", "unlimited COPYING permitted"), ("one", "Unlicensed"), ("none", "--")])
+    rows = [(1, "x\n  Unlimited copying\npermitted, y"), (2, "x\n# Unlimited copying permitted\ny"), (3, "Unlicensed"), (4, "text\nunlicensed\n" * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, None, 0, ""), (2, None, 1, "own"), (3, "one", 1, "one"), (4, None, 2, "one")]
+    read = lambda: [(r["doc_id"], r["license_id"], r["n_notices"], r["notices"]) for r in license.licenses(df, own).collect()]
+    same(read(), want)
+    monkeypatch.setattr(license, "FEW_HEADS", 0)
+    monkeypatch.setattr(license, "BROADCAST_KNOWN", 0)
+    same(read(), want)
+    assert all(r["license_id"] is None and not r["n_notices"] for r in license.licenses(df, own.limit(0)).collect())
+
+
+def test_license_digests_of_whole_licences(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    if not os.path.exists(f"{folder}/GPL-3"):
+        pytest.skip("no licence texts here")
+    text = {"GPL-3.0": open(f"{folder}/GPL-3").read(), "Apache-2.0": open(f"{folder}/Apache-2.0").read(), "MPL-2.0": open(f"{folder}/MPL-2.0").read()}
+    rows = [(1, text["GPL-3.0"]), (2, "# " + text["Apache-2.0"].replace("\n", "\n# ") + "\nimport os\n"), (3, text["GPL-3.0"][:-200]), (4, "a line\n" * 50_000 + text["MPL-2.0"]), (5, "All rights reserved.\n" * 20_000)]
+    got = {r["doc_id"]: (r["license_id"], "GPL-3.0" in r["notices"].split(","), r["notices"], r["n_notices"]) for r in license.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][:2] == ("GPL-3.0", True) and got[2][0] is None and "Apache-2.0" in got[2][2] and "GPL-3.0" not in got[3][2].split(",") and "MPL-2.0" in got[4][2].split(",")
+    assert got[5][2:] == ("proprietary", 20_000)
+
+
 def test_decontaminate(spark, docs, texts):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text")
     bench = bench.unionByName(spark.createDataFrame([("short", "w5 w6 w7"), ("none", "..."), ("null", None), (None, "tie")], "item_id string, text string"))

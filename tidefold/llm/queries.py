@@ -110,27 +110,37 @@ FROM dw LEFT JOIN cov ON cov.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw
 """
 
 
-def _canonical_sql(text: str) -> str:
-    out = f"lower({text})"
+def _lines_sql(text: str) -> str:
+    """The list of a text's canonical lines."""
+    out = f"replace(lower({text}), chr(169), '(c)')"
+    out = f"regexp_replace({out}, '{license.COPYRIGHT_LINE}', ' ', 'g')"
+    out = rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
     for literal, replacement in license.SPELLINGS:
         out = f"replace({out}, '{literal}', '{replacement}')"
-    out = f"regexp_replace({out}, '{license.COPYRIGHT_LINE}', ' ', 'g')"
-    out = rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-    return f"(CASE WHEN {out} <> '' THEN sha256({out}) END)"
+    out = rf"regexp_replace({out}, '{license.VERSION}', '{license.VERSION_NUMBER}\1', 'g')"
+    return f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
 def _license_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in license.KNOWN)
-    speaks = lambda x: "(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in license.NOTICE) + ")"
+    texts = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in license.variants())
+    long = ", ".join(f"({quoted(i)}, {quoted(h)}, {n}, {quoted(d)})" for i, h, n, d in license.DIGESTS)
+    head = lambda x: f"array_to_string(string_split({x}, ' ')[1:2], ' ')"
     return f"""
-WITH known AS (SELECT digest, min(license) AS license FROM (SELECT {_canonical_sql('body')} AS digest, license FROM (VALUES {rows}) v(license, body)) GROUP BY digest),
-d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE {speaks('line')}),
-hits AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS notices FROM (SELECT doc_id, {_canonical_sql('line')} AS digest FROM lines) JOIN known USING (digest) GROUP BY doc_id),
-whole AS (SELECT doc_id, {_canonical_sql('t')} AS digest FROM d)
-SELECT whole.doc_id, whole.digest AS text_sha256, license AS license_id, coalesce(n, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices
-FROM whole LEFT JOIN known ON known.digest = whole.digest LEFT JOIN hits ON hits.doc_id = whole.doc_id
+WITH texts AS (SELECT license, array_to_string({_lines_sql('body')}, ' ') AS t FROM (VALUES {texts}) v(license, body)),
+known AS (SELECT digest, min(license) AS license, any_value(head) AS head, any_value(n) AS n FROM (
+  SELECT license, {head('t')} AS head, len(string_split(t, ' ')) AS n, sha256(t) AS digest FROM texts WHERE t <> ''
+  UNION ALL SELECT * FROM (VALUES {long}) v(license, head, n, digest)) GROUP BY digest),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_lines_sql("coalesce(text, '')")} AS ls FROM documents),
+line AS (SELECT r, ls, i, {head("concat_ws(' ', ls[i], ls[i + 1])")} AS two, len(string_split(ls[i], ' ')) AS n FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+place AS (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY i) AS upto FROM line),
+begins AS (SELECT *, two AS head FROM place UNION SELECT *, ls[i] AS head FROM place WHERE n = 1),
+taken AS (SELECT DISTINCT a.r, a.i, sha256(array_to_string(a.ls[a.i:b.i], ' ')) AS digest
+  FROM begins a JOIN (SELECT DISTINCT head, n FROM known) k USING (head) JOIN place b ON b.r = a.r AND b.upto = a.upto - a.n + k.n AND b.i >= a.i),
+hits AS (SELECT r, count(DISTINCT i) AS n, array_to_string(list_sort(list(DISTINCT license)), ',') AS notices FROM taken JOIN known USING (digest) GROUP BY r),
+whole AS (SELECT r, doc_id, CASE WHEN len(ls) > 0 THEN sha256(array_to_string(ls, ' ')) END AS digest FROM d)
+SELECT doc_id, whole.digest AS text_sha256, license AS license_id, coalesce(hits.n, 0)::BIGINT AS n_notices, coalesce(notices, '') AS notices
+FROM whole LEFT JOIN known ON known.digest = whole.digest LEFT JOIN hits ON hits.r = whole.r
 """
 
 
