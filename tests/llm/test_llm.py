@@ -225,8 +225,6 @@ def test_simhash(spark, docs, texts):
 
 
 def test_one_of_similar_keeps_one_of_each_brute_force_component(spark):
-    import itertools
-
     import corpus_pipeline as C
 
     rnd = random.Random(5)
@@ -240,24 +238,9 @@ def test_one_of_similar_keeps_one_of_each_brute_force_component(spark):
                 v[at] = f"x{rnd.randrange(10**6)}"
             rows.append((10 * i + j, " ".join(v)))
 
-    def shingles(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = [shingles(t) for _, t in rows]
-    label = list(range(len(rows)))
-    n_links = 0
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        a, b = sets[i], sets[j]
-        if (len(a & b) >= 0.8 * len(a | b)) and (a or not b):
-            n_links += 1
-            label = [label[i] if x == label[j] else x for x in label]
-    groups = collections.defaultdict(list)
-    for r, g in zip(rows, label):
-        groups[g].append(r)
-    want = [min(g, key=lambda r: (r[0] is None, r[0])) for g in groups.values()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert n_links > 30
+    want = brute_kept(rows)
+    assert len(rows) - len(want) > 30
     same(C.simhash_stage(spark, df, DATA).collect(), want)
     assert simhash.one_of_similar(empty(spark)).count() == 0
 
@@ -603,20 +586,87 @@ def test_quality(spark, docs, texts):
     assert quality.quality(empty(spark)).count() == 0
 
 
-def test_pipeline_stages(spark):
+def brute_kept(rows):
+    """One (doc_id, text) of each component of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if label[i] != label[j] and (len(a & b) >= 0.8 * len(a | b)) and (a or not b):
+                label = [label[j] if x == label[i] else x for x in label]
+    groups = collections.defaultdict(list)
+    for r, g in zip(rows, label):
+        groups[g].append(r)
+    return [min(g, key=lambda r: (r[0] is None, r[0])) for g in groups.values()]
+
+
+def brute_clean(rows, items):
+    """The rows that hold no window of ten words of an item (no whole item of fewer)."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = set()
+    for w in map(words, items):
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    held = lambda w: any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    return [r for r in rows if not held(words(r[1]))]
+
+
+def brute_tokens(rows):
+    tiktoken, P = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks_of(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))), special_tokens={})
+    out = []
+    for i, t in rows:
+        ids = np.array(enc.encode_ordinary(t or ""), dtype="<u4")
+        out.append((i, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    return out
+
+
+def brute_masks(rows):
+    text = [(i, t or "") for i, t in rows]
+    terms = brute_terms(text, pii.BLOCK)
+    return [(i, t and brute_masked(t, [(a, b, k) for k, a, b, _ in brute_pii(t)] + [(a, b, "term") for a, b in terms[i, t]])) for i, t in rows]
+
+
+def test_pipeline_against_brute_force(spark):
+    """run() on the smallest tables: what the trained scores keep goes through plain versions of the four other stages."""
     import corpus_pipeline as C
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     labels, bench = spark.read.parquet(f"{DATA}/labels.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
-    out = C.run(spark, DATA).collect()
-    scores = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
-    left = docs.filter(F.col("doc_id").isin([i for i, p in scores.items() if not p]))
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.simhash(left).collect()}
-    left = left.filter(F.col("doc_id").isin([i for i, c in groups.items() if i == c]))
-    clean = {r["doc_id"] for r in decontam.decontaminate(left, bench).collect() if not r["contaminated"]}
-    assert sorted(r["doc_id"] for r in out) == sorted(clean)
-    masked = {r["doc_id"]: r["text"] for r in pii.sanitised(left.filter(F.col("doc_id").isin(list(clean)))).collect()}
-    assert {r["doc_id"]: r["decoded_sha256"] for r in out} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in masked.items()}
+    rejected = {r["doc_id"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect() if r["predicted"]}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] not in rejected]
+    kept = brute_kept(rows)
+    clean = brute_clean(kept, [r["text"] for r in bench.collect()])
+    assert len(rows) > len(kept) > len(clean) > 50
+    same(C.run(spark, DATA).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect(), brute_tokens(brute_masks(clean)))
+
+
+def test_pipeline_stages_on_edge_rows(spark, tmp_path):
+    """Each stage on nulls, empty and repeated rows, ties, clashing columns, long texts, and on an empty table."""
+    import corpus_pipeline as C
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h string, key string, score double, label long, component_id long"
+    more = ("en", "s", 5, "h", "k", 0.5, 1, 2)
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    texts = [(None, "null id a@b.cd"), (1, None), (2, ""), (3, "tie one two"), (3, "tie one two"), (3, "other text under one id"), (4, "w5 " * 60_000), (5, "é𝒳 \x0b ok"), (None, "null id a@b.cd"), (6, item), (7, "mail jo@x.org now"), (8, None)]
+    df = spark.createDataFrame([(i, t, *more) for i, t in texts], schema)
+    stages = dict(C.STAGES)
+    left = [tuple(r)[:2] for r in stages["toxicity"](spark, df, DATA).collect()]
+    assert collections.Counter(left) <= collections.Counter(texts) and all(collections.Counter(left)[x] == 2 for x in set(left) & {(3, "tie one two"), (None, "null id a@b.cd")})
+    same([tuple(r)[:2] for r in stages["simhash_near_dedup"](spark, df, DATA).collect()], brute_kept(texts))
+    same([tuple(r)[:2] for r in stages["benchmark_decontamination"](spark, df, DATA).collect()], brute_clean(texts, [r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]))
+    same([tuple(r)[:2] for r in stages["pii"](spark, df, DATA).collect()], brute_masks(texts))
+    same(stages["byte_level_bpe"](spark, df, DATA).collect(), brute_tokens(texts))
+    for name, stage in C.STAGES:
+        out = stage(spark, df.limit(0), DATA)
+        assert out.count() == 0 and (out.columns == df.columns or name == "byte_level_bpe")
+        if name != "byte_level_bpe":
+            assert stage(spark, df, DATA).columns == df.columns
+            assert {tuple(r)[4:] for r in stage(spark, df, DATA).drop("lang", "source").select("doc_id", "text", "doc_id", "text", "h", "key", "score", "label", "component_id").collect()} == {more[3:]}
 
 
 @pytest.mark.parametrize("name", ["op7_license", "op9_decontaminate", "op10_quality"])
