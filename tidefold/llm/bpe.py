@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of pieces in one recursive query, encodings a worker remembers, and tokens in one decoding query.
-CHUNK_BYTES, MEMO, DECODE_TOKENS = 500_000, 1_000_000, 1_000_000
+CHUNK_BYTES, MEMO, DECODE_TOKENS = 500_000, 500_000, 1_000_000
 #: Bytes from which on a word is long, and DuckDB's limit.
-LONG, MEMORY = 64, "600MB"
+LONG, MEMORY = 64, "400MB"
 
 #: A row's key is word << 32 | position, so that one ordering serves all words; a merge's is left << 20 | right.
 _ENCODE = """
