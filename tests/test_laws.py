@@ -249,3 +249,33 @@ def test_speculation(spark):
     events = spark.createDataFrame([(1, 2, "commit", "m", 1, 5), (1, 1, "propose", None, None, 5), (2, 1, "propose", None, None, 7)], "session long, idx long, kind string, client string, request long, action long")
     assert rows(X.speculate(events, 0, lambda a, b: a + b)) == [(1, 5, 5, 0, 1), (2, 0, 7, 1, 0)]
     assert X.speculate(events.limit(0), 0, lambda a, b: a + b).count() == 0
+
+
+def test_spending_rolls_up_any_depth_and_a_cycle_is_an_error(spark):
+    for depth in (1, 20, 100):
+        edges = spark.createDataFrame([(f"e{i}", f"g{i}", f"g{i + 1}") for i in range(depth)], "edge string, parent string, child string")
+        spends = spark.createDataFrame([(f"g{depth}", "r", 3)], "grp string, replica string, amount long")
+        got = {r["edge"]: (r["kind"], r["amount"]) for r in G.spend_rollup(spends, edges).collect()}
+        assert got == {f"e{i}": ("leaf" if i == depth - 1 else "rollup", 3) for i in range(depth)}
+    ring = spark.createDataFrame([("a", "x", "y"), ("b", "y", "x")], "edge string, parent string, child string")
+    with pytest.raises(ValueError, match="cycle"):
+        G.lineage(ring)
+
+
+def test_holdings_of_a_forest_need_a_root(spark):
+    edges = spark.createDataFrame([("a", "x", "y"), ("b", "p", "q")], "edge string, parent string, child string")
+    minted = spark.createDataFrame([("m", "r", 10)], "id string, holder string, amount long")
+    counters = spark.createDataFrame([("a", "r", "issued", 4)], "edge string, replica string, kind string, amount long")
+    none = spark.createDataFrame([], "path string, sender string, receiver string, amount long")
+    with pytest.raises(ValueError, match="several roots"):
+        G.holdings(minted, edges, counters, none)
+    got = {r["grp"]: r["held"] for r in G.holdings(minted, edges, counters, none, root="x").collect()}
+    assert got == {"x": 6, "y": 4}
+
+
+def test_virtual_service_is_reduced_and_exact(spark):
+    rows = [(6, 4, 9), (0, 3, 7), (1 << 40, 1 << 41, (1 << 40) - 1), (-6, 3, 2), (2**62, 2**61, 5)]
+    edges = spark.createDataFrame([(f"e{i}", w, d) for i, (_, w, d) in enumerate(rows)], "edge string, weight_num long, weight_den long")
+    counters = spark.createDataFrame([(f"e{i}", "r", "issued" if n >= 0 else "returned", abs(n)) for i, (n, _, _) in enumerate(rows)], "edge string, replica string, kind string, amount long")
+    got = {r["edge"]: Fraction(r["num"], r["den"]) for r in G.virtual_service(edges, counters).collect()}
+    assert got == {f"e{i}": Fraction(n * d, w) for i, (n, w, d) in enumerate(rows)}

@@ -114,6 +114,50 @@ def frames(t: Tables) -> DataFrame:
     return d.select(F.col("event_id").alias("offset"), (F.col("event_id") + 1).alias("end_offset"), F.col("ts").alias("arrived_at"), F.array(F.struct("replica", "seq")).alias("insert_dots"), F.col("event_type").alias("op"))
 
 
+# ---- hashes in SQL, over the bytes of ASCII strings -------------------------------------------------------------
+
+
+def _codes(text: str, kind: str) -> str:
+    return f"list_transform(string_split({text}, ''), lambda c: unicode(c)::{kind})"
+
+
+def _mod32(x: str) -> str:
+    return f"(({x}) % 4294967296::UBIGINT)"
+
+
+def _rot32(x: str, r: int) -> str:
+    return _mod32(f"(({x}) << {r}) | (({x}) >> {32 - r})")
+
+
+def _fmix_sql(h: str) -> str:
+    """The avalanche of the 32-bit hash that column h of a subquery holds, as nested subqueries' arithmetic."""
+    a = _mod32(f"xor({h}, {h} >> 16) * 2246822507::UBIGINT")
+    b = _mod32(f"xor({a}, {a} >> 13) * 3266489909::UBIGINT")
+    return f"xor({b}, {b} >> 16)"
+
+
+def _murmur_sql(text: str, seed: int) -> str:
+    """Murmur3 of a text: whole blocks of four bytes folded, then the tail."""
+    block = lambda i, n: "(" + " + ".join(f"(b[{i} + {j}] << {8 * (j - 1)})" for j in range(1, n + 1)) + ")"
+    mixed = lambda k: _mod32(_rot32(_mod32(f"{k} * 3432918353::UBIGINT"), 15) + " * 461845907::UBIGINT")
+    blocks = f"list_transform(range(0, len(b) // 4), lambda i: {block('4 * i', 4)})"
+    step = _mod32(_rot32(f"xor(h, {mixed('k')})", 13) + " * 5::UBIGINT + 3864292196::UBIGINT")
+    body = f"list_reduce(list_prepend({seed}::UBIGINT, {blocks}), lambda h, k: {step})"
+    at = "(len(b) // 4 * 4)"
+    tail = "CASE len(b) % 4 " + " ".join(f"WHEN {n} THEN xor(h, {mixed(block(at, n))})" for n in (1, 2, 3)) + " ELSE h END"
+    return f"(SELECT {_fmix_sql('h')}::BIGINT FROM (SELECT xor({tail}, len(b)::UBIGINT) AS h FROM (SELECT b, {body} AS h FROM (SELECT {_codes(text, 'UBIGINT')} AS b))))"
+
+
+def _fnv_sql(text: str) -> str:
+    fold = f"list_reduce(list_prepend(14695981039346656037::HUGEINT, {_codes(text, 'HUGEINT')}), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616::HUGEINT)"
+    return f"(SELECT (CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END)::BIGINT FROM (SELECT {fold} AS h))"
+
+
+def _ring_sql(text: str) -> str:
+    fold = f"list_reduce(list_prepend(0::UBIGINT, {_codes(text, 'UBIGINT')}), lambda h, b: {_mod32('31 * h + b')})"
+    return f"(SELECT CASE WHEN m = 2147483648 THEN -2147483648 WHEN m > 2147483648 THEN 4294967296 - m ELSE m END FROM (SELECT {_fmix_sql('h')}::BIGINT AS m FROM (SELECT {fold} AS h)))"
+
+
 # ---- sources, sinks, persistence ------------------------------------------------------------------------------
 
 
@@ -183,13 +227,14 @@ def _(t):
     return T.otlp_logs(logs(t), "batch")
 
 
-@query("s13_pull", "SELECT event_id AS record_id, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events WHERE event_id < 200")
+@query("s13_pull", "SELECT user_id % 4 AS log, event_id AS record_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS pos FROM events")
 def _(t):
-    e = t.events.filter("event_id < 200")
-    ops = e.select(F.lit("log").alias("doc"), F.lit("insert").alias("kind"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts", "event_id")).cast("long").alias("lamport"), F.lit("r").alias("replica"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("value"))
+    e = t.events.withColumn("log", F.col("user_id") % 4)
+    by_log = Window.partitionBy("log").orderBy("ts", "event_id")
+    ops = e.select(F.col("log").alias("doc"), F.lit("insert").alias("kind"), F.row_number().over(by_log).cast("long").alias("lamport"), F.lit("r").alias("replica"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("value"))
     prev = Window.partitionBy("doc").orderBy("lamport")
     ops = ops.withColumns({"after_lamport": F.lag("lamport").over(prev), "after_replica": F.lag("replica").over(prev), "after_seq": F.lag("seq").over(prev)})
-    return Q.rga_materialize(ops).select(F.col("value").cast("long").alias("record_id"), (F.col("pos") + 1).alias("pos"))
+    return Q.rga_materialize(ops).select(F.col("doc").alias("log"), F.col("value").cast("long").alias("record_id"), (F.col("pos") + 1).alias("pos"))
 
 
 @query("s13_pull_logs", "SELECT user_id, event_id AS record_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events")
@@ -279,6 +324,16 @@ def _(t):
     return C.dominates(vv(d), vv(d.filter("event_id < 500")))
 
 
+def _points_sql(where: str = "TRUE") -> str:
+    return f"pts AS (SELECT position, min(peer) AS peer FROM (SELECT peer, {_ring_sql('k')} AS position FROM (SELECT s_name AS peer, s_name || '#' || v AS k FROM supplier, range(150) r(v) WHERE {where})) GROUP BY 1)"
+
+
+def _owners_sql(where: str = "TRUE") -> str:
+    """The first point at or after each task's position, else the ring's first."""
+    return f"""WITH {_points_sql(where)}, tk AS (SELECT task, {_ring_sql('task')} AS p FROM (SELECT DISTINCT p_name AS task FROM part))
+SELECT task, coalesce(near.peer, (SELECT arg_min(peer, position) FROM pts)) AS peer FROM tk ASOF LEFT JOIN pts near ON tk.p <= near.position"""
+
+
 # ---- joins ----------------------------------------------------------------------------------------------------
 
 
@@ -323,12 +378,12 @@ def _(t):
     return T.causal_links(spans(t)).join(fresh, "from_span", "left_semi")
 
 
-@query("j6_ring_owner")
+@query("j6_ring_owner", _owners_sql())
 def _(t):
     return P.owners(t.part.select(F.col("p_name").alias("task")).distinct(), P.ring_points(t.supplier.select(F.col("s_name").alias("peer"))))
 
 
-@query("j7_ring_successor")
+@query("j7_ring_successor", _owners_sql("s_suppkey % 7 <> 0"))
 def _(t):
     others = t.supplier.filter("s_suppkey % 7 <> 0").select(F.col("s_name").alias("peer"))
     return P.owners(t.part.select(F.col("p_name").alias("task")).distinct(), P.ring_points(others))
@@ -340,9 +395,9 @@ def _(t):
     return P.winners(claims, t.supplier.filter("s_acctbal > 0").select(F.col("s_name").alias("peer")))
 
 
-@query("j11_lineage", "SELECT 'nation-' || n_name AS grp, 'e-n-' || n_name AS edge, 0 AS level FROM nation UNION ALL SELECT 'nation-' || n_name, 'e-r-' || r_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'region-' || r_name, 'e-r-' || r_name, 0 FROM region")
+@query("j11_lineage", "SELECT 'nation-' || n_name AS grp, 'e-n-' || n_name AS edge, 0::BIGINT AS level FROM nation UNION ALL SELECT 'nation-' || n_name, 'e-r-' || r_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'region-' || r_name, 'e-r-' || r_name, 0 FROM region")
 def _(t):
-    return G.lineage(ledger_edges(t), 8)
+    return G.lineage(ledger_edges(t))
 
 
 @query("j12_zip", "SELECT (SELECT count(*) FROM events) AS a, (SELECT count(DISTINCT user_id) FROM events) AS b")
@@ -489,13 +544,35 @@ def _(t):
 
 
 @query("a19_metric_catalog", """
-SELECT event_type AS name, props AS attrs, 'sum' AS kind, sum(v)::DOUBLE AS value FROM (SELECT event_type, props, user_id % 4 AS r, max(value)::DECIMAL(20, 2) AS v FROM events GROUP BY ALL) GROUP BY ALL
-UNION ALL SELECT event_type, props, 'gauge', arg_max(value, (epoch_us(ts), user_id % 4, value)) FROM events GROUP BY event_type, props""")
+SELECT event_type AS name, props AS attrs, 'sum' AS kind, list_reduce(list(v ORDER BY r), lambda a, b: a + b) AS value FROM (SELECT event_type, props, user_id % 4 AS r, max(value / 7) AS v FROM events GROUP BY ALL) GROUP BY ALL
+UNION ALL SELECT event_type, props, 'gauge', arg_max(value / 7, (epoch_us(ts), user_id % 4, value)) FROM events GROUP BY event_type, props""")
 def _(t):
-    base = t.events.select(F.col("event_type").alias("name"), F.col("props").alias("attrs"), (F.col("user_id") % 4).alias("replica"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "value")
+    base = t.events.select(F.col("event_type").alias("name"), F.col("props").alias("attrs"), (F.col("user_id") % 4).alias("replica"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), (F.col("value") / 7).alias("value"))
     return T.merged_metrics(base.withColumn("kind", F.lit("sum")).unionByName(base.withColumn("kind", F.lit("gauge"))))
 
 
+@query("a19_distinct_metric", f"""WITH h AS (SELECT name, attrs, {_murmur_sql('item', 0)} AS h FROM (SELECT DISTINCT event_type AS name, 'all' AS attrs, user_id::VARCHAR AS item FROM events)),
+g AS (SELECT name, attrs, h >> 18 AS idx, max(19 - CASE WHEN h & 262143 = 0 THEN 0 ELSE floor(log2(h & 262143))::INTEGER + 1 END) AS rho FROM h GROUP BY ALL)
+SELECT name, attrs, round(16384 * ln(16384.0 / (16384 - count(*))), 6) AS value FROM g GROUP BY ALL""")
+def _(t):
+    points = t.events.select(F.col("event_type").alias("name"), F.lit("all").alias("attrs"), F.lit("distinct").alias("kind"), F.col("user_id").alias("item"))
+    return T.distinct_metrics(points).select("name", "attrs", F.round("value", 6).alias("value"))
+
+
+@query("a19_histogram_metric", "SELECT event_type AS name, 'all' AS attrs, CASE WHEN value <= 10 THEN 0 WHEN value <= 50 THEN 1 ELSE 2 END AS bucket, count(*) AS count, round(sum(value::DECIMAL(20, 4)), 4)::DOUBLE AS sum FROM events GROUP BY ALL")
+def _(t):
+    points = t.events.select(F.col("event_type").alias("name"), F.lit("all").alias("attrs"), F.lit("histogram").alias("kind"), (F.col("user_id") % 4).alias("replica"), "value")
+    return T.histogram_metrics(points, [10, 50]).withColumn("sum", F.round("sum", 4))
+
+
+@query("a19_summary_metric", """WITH c AS (SELECT event_type, CASE WHEN value < 1e-9 THEN 0 ELSE 1 END AS p, CASE WHEN value < 1e-9 THEN 0 ELSE ceil(ln(value) / ln(1.01 / 0.99))::INTEGER END AS idx, count(*) AS n FROM events GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY p, idx) AS cum, sum(n) OVER (PARTITION BY event_type) AS tot FROM c)
+SELECT event_type AS name, 'all' AS attrs, q, round(arg_min(CASE WHEN p = 0 THEN 0.0 ELSE 2 * pow(1.01 / 0.99, idx) / (1 + 1.01 / 0.99) END, (p, idx)), 6) AS value FROM r, (VALUES (0.5::DOUBLE), (0.99)) v(q) WHERE cum > q * (tot - 1) GROUP BY ALL""")
+def _(t):
+    points = t.events.select(F.col("event_type").alias("name"), F.lit("all").alias("attrs"), F.lit("summary").alias("kind"), "value")
+    return T.quantile_metrics(points, [0.5, 0.99]).select("name", "attrs", "q", F.round("value", 6).alias("value"))
+
+
 @query("a20_fedavg", "WITH u AS (SELECT label, count(*) AS n, max(vec_id) AS v FROM embeddings GROUP BY 1) SELECT i::INTEGER - 1 AS i, round(sum(embedding[i]::DOUBLE * n) / sum(n), 6) AS weight FROM u JOIN embeddings ON vec_id = v, range(1, 65) r(i) GROUP BY 1")
 def _(t):
     sizes = t.embeddings.groupBy("label").agg(F.count("*").alias("samples"), F.max("vec_id").alias("vec_id"))
@@ -638,9 +715,10 @@ def _(t):
     return G.demand_fold(t.lineitem.select(F.col("l_suppkey").cast("string").alias("edge"), F.col("l_quantity").cast("long").alias("target"), F.col("l_linenumber").cast("long").alias("most")))
 
 
-@query("l11_enrolled", "SELECT user_id AS member FROM events WHERE event_id <= 600 GROUP BY 1 HAVING arg_max(event_type <> 'error', event_id)")
+@query("l11_enrolled", "SELECT user_id AS member FROM events GROUP BY 1 HAVING arg_max(event_type <> 'error', event_id)")
 def _(t):
-    return G.enrolled_at(t.events.select(F.col("event_id").alias("idx"), F.col("user_id").alias("member"), (F.col("event_type") != "error").alias("enrolled")), 600)
+    log = t.events.select(F.col("event_id").alias("idx"), F.col("user_id").alias("member"), (F.col("event_type") != "error").alias("enrolled"))
+    return G.enrolled_at(log, log.agg(F.max("idx")).first()[0] or 0)  # as of the log's last index
 
 
 @query("l11_enrolled_log", """WITH c AS (SELECT q, max(event_id) * q // 4 AS upto FROM events, range(1, 5) r(q) GROUP BY q)
@@ -763,6 +841,26 @@ def _(t):
     return K.bloom_contains(words, t.events.select("user_id").distinct(), "user_id", bits, hashes)
 
 
+@query("k1_hll_registers", f"SELECT event_type, (h >> 20)::INTEGER AS idx, max(21 - CASE WHEN h & 1048575 = 0 THEN 0 ELSE floor(log2(h & 1048575))::INTEGER + 1 END)::INTEGER AS rho FROM (SELECT event_type, {_murmur_sql('event_id::VARCHAR', 0)} AS h FROM events) GROUP BY ALL")
+def _(t):
+    a, b = (K.hll_registers(t.events.filter(f"event_id % 3 {op} 0"), ["event_type"], "event_id", 12) for op in ("=", "<>"))
+    return K.hll_merge(L.piece(a, b), ["event_type"])
+
+
+@query("k2_cms_cells", " UNION ALL ".join(f"SELECT row, col, max(n) AS count FROM (SELECT {i} AS row, {_murmur_sql('user_id::VARCHAR', i)} % 512 AS col, event_id % 2 AS w, count(*) AS n FROM events GROUP BY ALL) GROUP BY ALL" for i in range(3)))
+def _(t):
+    a, b = (K.cms_cells(t.events.filter(f"event_id % 2 = {w}"), [], "user_id", 512, 3) for w in (0, 1))
+    return K.cms_merge(L.piece(a, b), [])
+
+
+@query("k3_bloom_bits", f"SELECT DISTINCT (a + i * b) % 9586 AS bit FROM (SELECT {_murmur_sql('u::VARCHAR', 0)} AS a, {_murmur_sql('u::VARCHAR', 1)} AS b FROM (SELECT DISTINCT user_id AS u FROM events)), range(7) r(i)")
+def _(t):
+    bits, hashes = K.bloom_size(1000, 0.01)
+    words = K.bloom_words(t.events, [], "user_id", bits, hashes)
+    at = F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.when(F.getbit("bits", j) == 1, j)), lambda j: j.isNotNull())
+    return words.select("word", F.explode(at).alias("at")).select((F.col("word") * 64 + F.col("at")).alias("bit"))
+
+
 _GAMMA = "1.01 / 0.99"
 
 
@@ -842,11 +940,20 @@ def _(t):
     return T.first_by_id(t.events.select(F.expr("event_id div 3").alias("record_id"), "event_id"), "record_id", ["event_id"])
 
 
-@query("t3_ring")
+@query("t3_ring", f"WITH {_points_sql()} SELECT position, peer FROM pts")
 def _(t):
     return P.ring_points(t.supplier.select(F.col("s_name").alias("peer"))).orderBy("position")
 
 
+@query("t1_span_links", f"""WITH {DOTTED}, l AS (
+SELECT DISTINCT a.event_id AS from_span, b.event_id AS to_span FROM dotted a JOIN dotted b ON a.replica = b.replica AND b.seq IN (a.seq - 1, a.seq - 3)
+WHERE (CASE WHEN a.event_id % 4 <> 0 THEN a.event_id - 1 END) IS DISTINCT FROM b.event_id)
+SELECT from_span, array_to_string(list(to_span ORDER BY to_span), ',') AS links FROM l GROUP BY 1""")
+def _(t):
+    links = T.sorted_links(T.causal_links(spans(t)))
+    return links.select("from_span", F.array_join(F.transform("links", lambda x: x.cast("string")), ",").alias("links"))
+
+
 @query("t4_winner", "SELECT p_brand, arg_max(p_name, (p_retailprice, p_name)) AS best FROM part GROUP BY 1")
 def _(t):
     return t.part.groupBy("p_brand").agg(F.max_by("p_name", F.struct("p_retailprice", "p_name")).alias("best"))
@@ -896,19 +1003,29 @@ def line_ops(t: Tables) -> DataFrame:
     return L.piece(ins, rem)
 
 
-_LINES = "li AS (SELECT l_orderkey AS doc, l_linenumber AS n, min(l_partkey)::VARCHAR AS value, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1)"
+_SIDES = "li AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT AS n, min(l_partkey::VARCHAR) AS value, min(l_returnflag) <> 'R' AS visible FROM lineitem GROUP BY 1, 2), sd AS (SELECT *, min(n) OVER (PARTITION BY doc, n % 2) AS head FROM li)"
 
 
-@query("q1_rga", "WITH li AS (SELECT l_orderkey AS doc, l_linenumber AS n FROM lineitem GROUP BY 1, 2) SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY n) - 1 AS pos, count(*) OVER (PARTITION BY doc) AS n FROM li")
-def _(t):
+def concurrent_ops(t: Tables) -> DataFrame:
+    """Each order is a document to which two replicas appended at the same time, each its own chain from the head: odd lines and even ones."""
     ops = line_ops(t)
-    return Q.rga_materialize(Q.oplog_merge(ops.filter("seq % 2 = 0"), ops)).select("doc", "pos", F.count("*").over(Window.partitionBy("doc")).alias("n"))
+    own = Window.partitionBy("doc", "kind", "replica").orderBy("lamport")
+    after = lambda c: F.when(F.col("kind") == "insert", F.lag(c).over(own))
+    return ops.withColumns({"after_lamport": after("lamport"), "after_replica": after("replica"), "after_seq": after("seq")})
 
 
-@query("q2_oplog_merge", "WITH li AS (SELECT l_orderkey AS doc, l_linenumber AS n FROM lineitem GROUP BY 1, 2) SELECT doc, count(*) AS inserts FROM li GROUP BY 1")
+@query("q1_rga", f"WITH {_SIDES} SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY head DESC, n) - 1 AS pos, value, visible FROM sd")
 def _(t):
-    ops = line_ops(t).filter("kind = 'insert'")
-    return Q.oplog_merge(ops, ops.filter("seq % 2 = 0")).groupBy("doc").agg(F.count("*").alias("inserts"))
+    ops = concurrent_ops(t)
+    return Q.rga_materialize(Q.oplog_merge(ops.filter("seq % 2 = 0"), ops))
+
+
+@query("q2_oplog_merge", """WITH li AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT AS n, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2), k AS (SELECT *, f = 'R' AND n % 3 = 0 AS gone FROM li)
+SELECT doc, unnest(CASE WHEN gone THEN ['compact'] WHEN f = 'R' THEN ['insert', 'remove'] ELSE ['insert'] END) AS kind, n AS lamport, 'r' || (n % 2) AS replica, n AS seq FROM k""")
+def _(t):
+    ops = line_ops(t)
+    compacts = ops.filter("kind = 'remove' and seq % 3 = 0").withColumn("kind", F.lit("compact"))
+    return Q.oplog_merge(ops, ops.filter("seq % 2 = 0").unionByName(compacts), compacts).select("doc", "kind", "lamport", "replica", "seq")
 
 
 _ENDS = "li AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT AS n, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2), nx AS (SELECT *, lead(n) OVER (PARTITION BY doc ORDER BY n) AS nxt FROM li)"
@@ -955,12 +1072,30 @@ def _(t):
     return Q.fugue_materialize(L.piece(ins, rem))
 
 
-@query("q8_movable_tree", "SELECT 'r' || n_regionkey AS tree, n_name AS node, 'region' || n_regionkey AS parent FROM nation")
+@query("q7_fugue_bushy", """WITH RECURSIVE c AS (SELECT DISTINCT conv_id AS doc, turn::BIGINT AS turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+p AS (SELECT doc, turn, i, '' AS path FROM c WHERE i = 0 UNION ALL SELECT c.doc, c.turn, c.i, p.path || (ARRAY['0', '1', '4', '3'])[(c.i - 1) % 4 + 1] FROM c JOIN p ON p.doc = c.doc AND p.i = (c.i - 1) // 4 AND c.i > 0)
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY path || '2') - 1 AS pos, turn::VARCHAR AS value, TRUE AS visible FROM p""")
+def _(t):
+    # a tree of four children a node: two to the left, by id upwards, and two to the right with one right origin, by id downwards
+    c = t.conversations.select("conv_id", "turn").distinct().withColumn("i", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long") - 1)
+    up = F.when(F.col("i") > 0, F.floor((F.col("i") - 1) / 4).cast("long"))
+    null = lambda k: F.lit(None).cast(k)
+    side = F.when((F.col("i") - 1) % 4 < 2, "L").otherwise("R")
+    return Q.fugue_materialize(c.select(F.col("conv_id").alias("doc"), F.lit("insert").alias("kind"), F.lit("r").alias("replica"), F.col("i").alias("seq"), F.when(up.isNotNull(), "r").alias("parent_replica"), up.alias("parent_seq"), side.alias("side"), null("string").alias("right_replica"), null("long").alias("right_seq"), F.col("turn").cast("string").alias("value")))
+
+
+@query("q8_movable_tree", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS i, lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_name) AS other FROM nation)
+SELECT 'r' || n_regionkey AS tree, n_name AS node, CASE WHEN i % 2 = 1 AND other IS NOT NULL THEN other ELSE 'region' || n_regionkey END AS parent FROM n""")
 def _(t):
-    n = t.nation
-    first = n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("tree"), F.lit(1).cast("long").alias("ts"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("replica"), F.lit(1).cast("long").alias("seq"), F.col("n_name").alias("node"), F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("new_parent"), F.lit("v").alias("value"))
-    loop = first.withColumns({"ts": F.lit(2).cast("long"), "new_parent": F.col("node")})  # a node under itself is skipped
-    return Q.tree_replay(L.piece(first, loop)).select("tree", "node", "parent")
+    order = Window.partitionBy("n_regionkey").orderBy("n_name")
+    n = t.nation.withColumns({"i": F.row_number().over(order), "other": F.lead("n_name").over(order), "before": F.lag("n_name").over(order)})
+    first = n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("tree"), F.lit(1).cast("long").alias("ts"), F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("replica"), F.lit(1).cast("long").alias("seq"), F.col("n_name").alias("node"), F.concat(F.lit("region"), F.col("n_regionkey").cast("string")).alias("new_parent"), F.lit("v").alias("value"), "i", "other", "before")
+    # A under B, then B under A at the same time elsewhere: the later one would close a cycle and is skipped, as a node under itself is
+    under = first.filter("i % 2 = 1 and other is not null").withColumns({"ts": F.lit(2).cast("long"), "new_parent": F.col("other")})
+    back = first.filter("i % 2 = 0").withColumns({"ts": F.lit(3).cast("long"), "new_parent": F.col("before")})
+    own = first.withColumns({"ts": F.lit(4).cast("long"), "new_parent": F.col("node")})
+    every = L.piece(first.drop("i", "other", "before"), *(x.drop("i", "other", "before") for x in (under, back, own)))
+    return Q.tree_replay(every).select("tree", "node", "parent")
 
 
 @query("q10_json", "WITH e AS (SELECT user_id AS doc, event_type AS path, CASE WHEN event_id % 9 = 0 THEN 'object' WHEN event_id % 9 = 1 THEN 'array' ELSE 'leaf' END AS kind, event_id AS ts, value::VARCHAR AS v FROM events), r AS (SELECT *, CASE kind WHEN 'object' THEN 3 WHEN 'array' THEN 2 ELSE 1 END AS k FROM e) SELECT doc, path, arg_max(kind, (k, ts)) AS kind, max(k)::INTEGER AS rank FROM r GROUP BY 1, 2")
@@ -973,17 +1108,17 @@ def _(t):
 # ---- scalar functions -----------------------------------------------------------------------------------------
 
 
-@query("f1_murmur3")
+@query("f1_murmur3", f"SELECT p_partkey, {_murmur_sql('p_name', 0)} AS h0, {_murmur_sql('p_name', 42)} AS h42 FROM part")
 def _(t):
     return t.part.select("p_partkey", H.murmur3(F.col("p_name")).alias("h0"), H.murmur3(F.col("p_name"), 42).alias("h42"))
 
 
-@query("f2_fnv1a64")
+@query("f2_fnv1a64", f"SELECT p_partkey, {_fnv_sql('p_name')} AS h FROM part")
 def _(t):
     return t.part.select("p_partkey", H.fnv64(F.col("p_name")).alias("h"))
 
 
-@query("f3_ring_position")
+@query("f3_ring_position", f"SELECT p_partkey, {_ring_sql('p_name')} AS position FROM part")
 def _(t):
     return t.part.select("p_partkey", H.ring(F.col("p_name")).alias("position"))
 

@@ -12,9 +12,11 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidefold.sources.staging import staged
+
 LIFECYCLE = ("PREPARED", "ACTIVE", "CLOSED", "RETIRED")
 _LONG = (1 << 63) - 1
 
@@ -47,12 +49,21 @@ def lifecycles(marks: DataFrame) -> DataFrame:
     return marks.groupBy("edge").agg(F.max_by("lifecycle", rank).alias("lifecycle"))
 
 
-def holdings(minted: DataFrame, edges: DataFrame, counters: DataFrame, transfers: DataFrame) -> DataFrame:
-    """grp, replica, held: credit in, plus transfers, less what went to children and leaf spending. The root's group is each edge's topmost parent."""
+def holdings(minted: DataFrame, edges: DataFrame, counters: DataFrame, transfers: DataFrame, root: str | None = None) -> DataFrame:
+    """grp, replica, held: credit in, plus transfers, less what went to children and leaf spending.
+
+    Mints are credited to the root: the one group without an inbound edge unless given. Several such groups are an error.
+    """
     slot = effective(counters)
     net = slot.filter("kind in ('issued', 'returned')").groupBy("edge", "replica").agg(F.sum(F.when(F.col("kind") == "issued", F.col("amount")).otherwise(-F.col("amount"))).alias("net"))
     ends = edges.select("edge", "parent", "child").distinct()
-    roots = ends.select(F.col("parent").alias("grp")).distinct().join(ends.select(F.col("child").alias("grp")).distinct(), "grp", "left_anti")
+    if root is None:
+        tops = ends.select(F.col("parent").alias("grp")).distinct().join(ends.select(F.col("child").alias("grp")).distinct(), "grp", "left_anti")
+        tops = [r["grp"] for r in tops.limit(2).collect()]
+        if len(tops) > 1:
+            raise ValueError(f"several roots, among them {tops}: name the ledger's")
+        root = tops[0] if tops else None
+    roots = ends.sparkSession.createDataFrame([(root,)] if root is not None else [], "grp string")
     credit = mints(minted).crossJoin(F.broadcast(roots)).select("grp", F.col("holder").alias("replica"), F.col("amount").alias("v"))  # one root a ledger
     inflow = net.join(ends, "edge").select(F.col("child").alias("grp"), "replica", F.col("net").alias("v"))
     outflow = net.join(ends, "edge").select(F.col("parent").alias("grp"), "replica", (-F.col("net")).alias("v"))
@@ -66,23 +77,30 @@ def holdings(minted: DataFrame, edges: DataFrame, counters: DataFrame, transfers
     return every.groupBy("grp", "replica").agg(F.sum("v").alias("held"))
 
 
-def lineage(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """child, ancestor edge, level: every edge on the way up, by doubling joins so that depth d takes log d steps."""
-    up = edges.select(F.col("child").alias("grp"), "edge", F.col("parent").alias("next"), F.lit(0).alias("level"))
-    jump, out, width = up.select("grp", "next"), up, 1
-    while width < depth:
+def lineage(edges: DataFrame) -> DataFrame:
+    """grp, edge, level: every edge on the way up from a group to the root, however deep; a cycle is an error.
+
+    Doubling joins: after step i the paths of up to 2**i edges are known, so depth d takes log d steps. Each step is
+    written to the shared folder, and the walk ends when a step adds nothing. A path longer than there are edges goes round.
+    """
+    up = edges.select(F.col("child").alias("grp"), "edge", F.col("parent").alias("next")).distinct()
+    out = staged(up.withColumn("level", F.lit(0).cast("long")), "lineage")
+    jump, width, most = staged(up.select("grp", "next").distinct(), "lineage-jump"), 1, edges.select("edge").distinct().count()
+    while not jump.isEmpty():
+        if width > most:
+            raise ValueError("the edges close a cycle")
         far = jump.select(F.col("grp").alias("mid"), F.col("next").alias("start"))
-        more = far.join(out.select("grp", "edge", "next", "level"), far["start"] == out["grp"]).select(F.col("mid").alias("grp"), "edge", "next", (F.col("level") + width).alias("level"))
-        out = out.unionByName(more)
+        more = far.join(out, far["start"] == out["grp"]).select(F.col("mid").alias("grp"), "edge", "next", (F.col("level") + width).alias("level"))
         hop = jump.select(F.col("grp").alias("g2"), F.col("next").alias("n2"))
-        jump = jump.join(hop, jump["next"] == hop["g2"]).select("grp", F.col("n2").alias("next"))
+        out = staged(out.unionByName(more), "lineage")
+        jump = staged(jump.join(hop, jump["next"] == hop["g2"]).select("grp", F.col("n2").alias("next")).distinct(), "lineage-jump")
         width *= 2
     return out.select("grp", "edge", "level")
 
 
-def spend_rollup(spends: DataFrame, edges: DataFrame, depth: int = 8) -> DataFrame:
+def spend_rollup(spends: DataFrame, edges: DataFrame) -> DataFrame:
     """edge, replica, kind, amount: each spend charges its leaf edge and rolls up to all edges above."""
-    return spends.join(lineage(edges, depth), "grp").select("edge", "replica", F.when(F.col("level") == 0, "leaf").otherwise("rollup").alias("kind"), "amount").groupBy("edge", "replica", "kind").agg(F.sum("amount").alias("amount"))
+    return spends.join(lineage(edges), "grp").select("edge", "replica", F.when(F.col("level") == 0, "leaf").otherwise("rollup").alias("kind"), "amount").groupBy("edge", "replica", "kind").agg(F.sum("amount").alias("amount"))
 
 
 def edge_totals(counters: DataFrame) -> DataFrame:
@@ -90,16 +108,23 @@ def edge_totals(counters: DataFrame) -> DataFrame:
     return effective(counters).groupBy("edge").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("amount"))), F.lit(0)).alias(k) for k in kinds))
 
 
-def virtual_service(edges: DataFrame, counters: DataFrame) -> DataFrame:
-    """edge, num, den: (issued - returned) / weight as a reduced fraction."""
-    net = edges.join(edge_totals(counters), "edge", "left").select("edge", (F.coalesce("issued", F.lit(0)) - F.coalesce("returned", F.lit(0))).alias("n"), "weight_num", "weight_den")
+def gcd(a: Column, b: Column) -> Column:
+    """The greatest common divisor of two longs by Euclid's steps, of which 64-bit numbers take at most 92."""
+    start = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"))
+    step = lambda x, _: F.when(x["b"] == 0, x).otherwise(F.struct(x["b"].alias("a"), (x["a"] % F.when(x["b"] == 0, F.lit(1).cast("long")).otherwise(x["b"])).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda x: x["a"])
 
-    def run(batches):
-        for pdf in batches:
-            f = [checked(Fraction(int(n)) * int(d) / int(w)) for n, w, d in zip(pdf["n"], pdf["weight_num"], pdf["weight_den"])]
-            yield pd.DataFrame({"edge": pdf["edge"], "num": [x.numerator for x in f], "den": [x.denominator for x in f]})
 
-    return net.mapInPandas(run, "edge string, num long, den long")
+def virtual_service(edges: DataFrame, counters: DataFrame) -> DataFrame:
+    """edge, num, den: (issued - returned) / weight as a reduced fraction. Parts beyond 64 bits are an error."""
+    net = edges.join(edge_totals(counters), "edge", "left").select("edge", (F.coalesce("issued", F.lit(0)) - F.coalesce("returned", F.lit(0))).cast("long").alias("n"), F.col("weight_num").cast("long").alias("w"), F.col("weight_den").cast("long").alias("d"))
+    # reduced across before the product, so that only a result too large can overflow
+    div = lambda x, y: F.expr(f"{x} div {y}")
+    parts = net.select("edge", "n", "w", "d", gcd(F.col("n"), F.col("w")).alias("a")).select("edge", div("n", "a").alias("n"), div("w", "a").alias("w"), "d")
+    parts = parts.select("edge", "n", "w", "d", gcd(F.col("d"), F.col("w")).alias("b")).select("edge", "n", div("w", "b").alias("w"), div("d", "b").alias("d"))
+    num = F.col("n").cast("decimal(38,0)") * F.col("d").cast("decimal(20,0)")
+    fits = F.when(F.abs(num) > _LONG, F.raise_error("a virtual service leaves 64-bit rationals").cast("long")).otherwise(num.cast("long"))
+    return parts.select("edge", fits.alias("num"), F.col("w").alias("den"))
 
 
 def _fenced(finals: DataFrame, counters: DataFrame) -> DataFrame:

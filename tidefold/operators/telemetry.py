@@ -47,15 +47,50 @@ def causal_links(spans: DataFrame) -> DataFrame:
     return want.join(made, ["replica", "seq"]).filter(~F.col("parent_span_id").eqNullSafe(F.col("to_span"))).select("from_span", "to_span").distinct()
 
 
+def sorted_links(links: DataFrame) -> DataFrame:
+    """from_span, links: each span's links as one list, in the order of the spans they lead to."""
+    return links.groupBy("from_span").agg(F.array_sort(F.collect_set("to_span")).alias("links"))
+
+
+def distinct_metrics(points: DataFrame, p: int = 14) -> DataFrame:
+    """name, attrs, value: the estimated number of different items of the kind 'distinct', registers merged by their maximum."""
+    from tidefold.operators.sketches import hll_estimate, hll_registers
+
+    key = ["name", "attrs"]
+    return hll_estimate(hll_registers(points.filter("kind = 'distinct'"), key, "item", p), key, p).withColumnRenamed("estimate", "value")
+
+
+def histogram_metrics(points: DataFrame, bounds: list[float]) -> DataFrame:
+    """name, attrs, bucket, count, sum of the kind 'histogram': explicit boundaries, merged by the largest count of a replica's bucket."""
+    from tidefold.operators.sketches import histogram
+
+    key = ["name", "attrs", "replica"]
+    each = histogram(points.filter("kind = 'histogram'"), key, "value", bounds)
+    return each.groupBy("name", "attrs", "bucket").agg(F.sum("count").alias("count"), F.sum("sum").alias("sum"))
+
+
+def quantile_metrics(points: DataFrame, qs: list[float]) -> DataFrame:
+    """name, attrs, q, value of the kind 'summary': quantiles of log buckets."""
+    from tidefold.operators.sketches import dd_cells, dd_quantiles
+
+    key = ["name", "attrs"]
+    return dd_quantiles(dd_cells(points.filter("kind = 'summary'"), key, "value"), key, qs)
+
+
 def metric_version(family: str) -> Column:
     """A version per point, of which only equality matters."""
     return F.md5(F.concat_ws("|", F.lit(family), F.col("value").cast("string")))
 
 
 def merged_metrics(points: DataFrame) -> DataFrame:
-    """Metric catalogue: sums by largest per replica, gauges by last writer, keyed by name, kind and canonical attributes."""
+    """Metric catalogue: sums by largest per replica, gauges by last writer, keyed by name, kind and canonical attributes.
+
+    Doubles are added as they are, a group's replicas in their order, so that the sum does not depend on how rows lie.
+    """
     key = ["name", "attrs"]
-    sums = points.filter("kind = 'sum'").groupBy(*key, "replica").agg(F.max("value").alias("value")).groupBy(*key).agg(F.sum(F.col("value").cast("decimal(20,2)")).cast("double").alias("value"))
+    sums = points.filter("kind = 'sum'").groupBy(*key, "replica").agg(F.max("value").alias("value"))
+    ordered = F.array_sort(F.collect_list(F.struct("replica", F.col("value").cast("double").alias("value"))))
+    sums = sums.groupBy(*key).agg(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x["value"]).alias("value"))
     gauges = points.filter("kind = 'gauge'").groupBy(*key).agg(F.max_by("value", F.struct("ts", "replica")).alias("value"))
     return sums.withColumn("kind", F.lit("sum")).unionByName(gauges.withColumn("kind", F.lit("gauge")))
 
