@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidefold.functions import hashing as H
 from tidefold.operators import causal as C
+from tidefold.operators import entitlement as E
 from tidefold.operators import lattice as L
 from tidefold.operators import ledger as G
 from tidefold.operators import placement as P
@@ -689,6 +690,70 @@ def _(t):
     return G.mints(ledger_minted(t)).groupBy("holder").agg(F.sum("amount").alias("amount"))
 
 
+def ledger_actions(t: Tables) -> DataFrame:
+    """A delegation, a release and a transfer for each nation or region, some beyond what is held, some down a retired edge, one down an unknown one."""
+    n, no = t.nation, F.lit(None).cast("string")
+    edge, rep = F.concat(F.lit("e-n-"), "n_name"), F.concat(F.lit("r"), (F.col("n_nationkey") % 2).cast("string"))
+    long = lambda c: c.cast("long")
+    down = n.select(long(F.col("n_nationkey")).alias("id"), F.lit("delegate").alias("kind"), rep.alias("replica"), edge.alias("place"), no.alias("receiver"), long(F.col("n_nationkey") % 4 * 100_000 + 1).alias("amount"))
+    up = n.select(long(F.col("n_nationkey") + 100).alias("id"), F.lit("release").alias("kind"), rep.alias("replica"), edge.alias("place"), no.alias("receiver"), long(F.col("n_nationkey") % 3 * 100_000 + 1).alias("amount"))
+    over = t.region.select(long(F.col("r_regionkey") + 200).alias("id"), F.lit("transfer").alias("kind"), F.lit("r0").alias("replica"), F.concat(F.lit("region-"), "r_name").alias("place"), F.concat(F.lit("r"), (F.col("r_regionkey") % 4 % 3).cast("string")).alias("receiver"), long(F.col("r_regionkey") % 2 * 1_000_000 + 1).alias("amount"))
+    return L.piece(down, up, over, t.rows([(300, "delegate", "r0", "gone", None, 1)], "id long, kind string, replica string, place string, receiver string, amount long"))
+
+
+_ACTIONS = f"""{_HELD},
+a AS (SELECT n_nationkey AS id, 'delegate' AS kind, 'r' || (n_nationkey % 2) AS replica, 'region-' || r_name AS grp, n_name, (n_nationkey % 4 * 100000 + 1)::BIGINT AS amount, CASE WHEN n_nationkey % 7 = 0 THEN 'not active' END AS form FROM nation JOIN region ON n_regionkey = r_regionkey
+ UNION ALL SELECT n_nationkey + 100, 'release', 'r' || (n_nationkey % 2), 'nation-' || n_name, n_name, n_nationkey % 3 * 100000 + 1, CASE WHEN n_nationkey % 7 = 0 THEN 'contested lineage' END FROM nation
+ UNION ALL SELECT r_regionkey + 200, 'transfer', 'r0', 'region-' || r_name, NULL, r_regionkey % 2 * 1000000 + 1, CASE WHEN r_regionkey % 4 % 3 = 0 THEN 'malformed' END FROM region UNION ALL SELECT 300, 'delegate', 'r0', NULL, NULL, 1, 'unknown edge'),
+k AS (SELECT *, row_number() OVER (PARTITION BY grp, replica, form IS NULL ORDER BY id) AS turn FROM a),
+j AS (SELECT k.*, CASE WHEN form IS NOT NULL THEN form WHEN turn > 1 THEN 'later' WHEN amount > coalesce(held, 0) THEN 'insufficient' END AS reason FROM k LEFT JOIN held ON held.grp = k.grp AND held.replica = k.replica)"""
+
+
+@query("l2_l3_actions", f"WITH {_ACTIONS} SELECT id::BIGINT AS id, kind, replica, grp, amount, reason FROM j")
+def _(t):
+    return E.judged(ledger_actions(t), ledger_minted(t), ledger_edges(t), ledger_counters(t), ledger_transfers(t)).select("id", "kind", "replica", "grp", "amount", "reason")
+
+
+@query("l2_patch", f"""WITH {_ACTIONS} SELECT 'e-n-' || j.n_name AS edge, replica, CASE kind WHEN 'delegate' THEN 'issued' ELSE 'returned' END AS kind, (coalesce(CASE kind WHEN 'delegate' THEN 2 * c ELSE ret END, 0) + amount)::BIGINT AS amount
+FROM j LEFT JOIN cu ON cu.n_name = j.n_name AND rep = replica WHERE reason IS NULL AND kind <> 'transfer'""")
+def _(t):
+    c = ledger_counters(t)
+    return E.counter_patch(E.judged(ledger_actions(t), ledger_minted(t), ledger_edges(t), c, ledger_transfers(t)), c)
+
+
+@query("l3_patch", f"WITH {_ACTIONS} SELECT 'e-r-' || substr(grp, 8) AS path, 'r0' AS sender, 'r' || ((id - 200) % 4 % 3) AS receiver, amount FROM j WHERE reason IS NULL AND kind = 'transfer'")
+def _(t):
+    return E.transfer_patch(E.judged(ledger_actions(t), ledger_minted(t), ledger_edges(t), ledger_counters(t), ledger_transfers(t)), ledger_transfers(t))
+
+
+@query("l6_retire", "SELECT o_custkey::VARCHAR AS edge, CASE WHEN max(CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END) <> 2 THEN 'not closing' WHEN sum(CASE o_orderkey % 3 WHEN 0 THEN -1 ELSE 1 END) <> 0 THEN 'outstanding' END AS reason FROM orders GROUP BY 1 UNION ALL SELECT 'gone', 'unknown edge'")
+def _(t):
+    state = F.when(F.col("o_orderstatus") == "O", "ACTIVE").when(F.col("o_orderstatus") == "P", "CLOSED").otherwise("RETIRED")
+    edge = F.col("o_custkey").cast("string").alias("edge")
+    marks = t.orders.select(edge, state.alias("lifecycle"))
+    counters = t.orders.select(edge, F.lit("r").alias("replica"), F.when(F.col("o_orderkey") % 3 == 0, "returned").otherwise("issued").alias("kind")).groupBy("edge", "replica", "kind").agg(F.count("*").alias("amount"))
+    return E.retirement(marks.select("edge").unionByName(t.rows([("gone",)], "edge string")), marks, counters)
+
+
+@query("a26_gauged_service", f"""WITH {_CUST}, s AS (SELECT 'e-n-' || n_name AS edge, sum(2 * c)::BIGINT AS i, sum(ret)::BIGINT AS r, 2 AS w, 3 AS d, any_value(n_nationkey) AS k FROM cu GROUP BY n_name UNION ALL SELECT 'e-r-' || r_name, sum(3 * c)::BIGINT, 0, 1, r_regionkey + 1, -1 FROM cu JOIN region USING (r_name) GROUP BY r_name, r_regionkey),
+f AS (SELECT edge, CASE WHEN k % 2 = 0 THEN (k + 1) * w + 4 * (i - 10 - r) * d ELSE (i - r) * d END AS n, CASE WHEN k % 2 = 0 THEN 4 * w ELSE w END AS m FROM s) SELECT edge, (n // gcd(n, m))::BIGINT AS num, (m // gcd(n, m))::BIGINT AS den FROM f""")
+def _(t):
+    n = t.nation.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("e-n-"), "n_name").alias("edge"), (F.col("n_nationkey") + 1).cast("long").alias("floor_num"), F.lit(4).cast("long").alias("floor_den"), F.lit(7).cast("long").alias("folded"))
+    lower = n.select("edge", F.lit(0).cast("long").alias("floor_num"), F.lit(1).cast("long").alias("floor_den"), F.lit(10).cast("long").alias("folded"))
+    return E.gauged_service(ledger_edges(t), ledger_counters(t), L.piece(n, lower))
+
+
+@query("a28_bounds", f"""WITH {_HELD}, ch AS (SELECT 'region-' || r_name AS parent, sum(2 * c - ret) AS s, 1.0 AS w FROM cu WHERE n_nationkey % 7 <> 0 AND n_nationkey % 3 <> 0 GROUP BY r_name, n_name),
+dv AS (SELECT parent, max((abs(sum_s - n * s) + n - 1) // n) AS gap FROM (SELECT parent, s::BIGINT AS s, sum(s) OVER (PARTITION BY parent)::BIGINT AS sum_s, count(*) OVER (PARTITION BY parent) AS n FROM ch) GROUP BY parent),
+st AS (SELECT grp AS parent, sum(greatest(held, 0)) AS steer FROM held WHERE replica IN ('r0', 'r1') GROUP BY 1),
+ps AS (SELECT 'root' AS parent UNION ALL SELECT 'region-' || r_name FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)
+SELECT parent, 2030::BIGINT AS worst, least(2030, coalesce(steer, 0) + 30)::BIGINT AS bound, coalesce(gap, 0)::BIGINT AS deviation FROM ps LEFT JOIN st USING (parent) LEFT JOIN dv USING (parent)""")
+def _(t):
+    demanding = t.nation.filter("n_nationkey % 3 <> 0").select(F.concat(F.lit("e-n-"), "n_name").alias("edge"))
+    held = G.holdings(ledger_minted(t), ledger_edges(t), ledger_counters(t), ledger_transfers(t))
+    return E.bound_metrics(ledger_edges(t), ledger_counters(t), held, t.rows([("r0",), ("r1",)], "replica string"), demanding, 1000, 30)
+
+
 @query("l4_spend_rollup", "SELECT 'e-n-' || n_name AS edge, 'r0' AS replica, 'leaf' AS kind, (n_nationkey + 1)::BIGINT AS amount FROM nation UNION ALL SELECT 'e-r-' || r_name, 'r0', 'rollup', sum(n_nationkey + 1)::BIGINT FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def _(t):
     spends = t.nation.select(F.concat(F.lit("nation-"), "n_name").alias("grp"), F.lit("r0").alias("replica"), (F.col("n_nationkey") + 1).cast("long").alias("amount"))
