@@ -298,7 +298,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, shingle:
     held = nodes.join(near.select(F.col("key").alias("key2")).hint("merge"), F.col("key") == F.col("key2"), "left_semi").select(F.col("first").alias("first2"), F.col("h").alias("h2"))
     texts = docs.join(held.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first2")) & (F.col("h") == F.col("h2")), "left_semi").select("text")
     sets = staged(texts.mapInArrow(_shingle_rows(shingle, True), "key long, n long, a long, b long, ids binary"), "simhash-sets")
-    met = _by_size(sets, similarity, max(4, -(-sets.count() // (CLASS_ROWS))))
+    met = _by_size(sets, similarity, max(2, -(-sets.count() // CLASS_ROWS)))
     return met.groupBy("p", "q").applyInPandas(confirmed, "u long, v long")
 
 
