@@ -88,7 +88,7 @@ m AS (
     len(list_filter(ws, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in dict.fromkeys(quality.STOP_WORDS))})))::BIGINT AS n_stop_words
   FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
-SELECT *, NOT base_failed AND n_words BETWEEN 20 AND 200000 AND word_chars / n_words BETWEEN 2.0 AND 15.0
+SELECT *, NOT base_failed AND n_words >= 20 AND word_chars / n_words BETWEEN 2.0 AND 15.0
   AND n_symbols / n_words <= 0.2 AND n_stop_words / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.5 AS kept
 FROM f
 """
