@@ -122,7 +122,7 @@ def test_rga_concurrent_inserts_deletes_and_long_chains():
 def test_tree_moves_skip_cycles():
     moves = [(1, "a", 1, "A", "root", "v"), (2, "a", 2, "B", "root", "v"), (3, "a", 3, "A", "B", "v"), (3, "b", 1, "B", "A", "v"), (4, "b", 2, "A", "A", "v")]
     random.shuffle(moves)
-    assert {k: p for k, (p, _) in Q.replay_moves(moves).items()} == {"A": "B", "B": "root"}
+    assert {k: m[4] for k, m in Q.replay_moves(moves).items()} == {"A": "B", "B": "root"}
 
 
 def test_scheduler_ties_caps_and_overflow():
@@ -279,3 +279,57 @@ def test_virtual_service_is_reduced_and_exact(spark):
     counters = spark.createDataFrame([(f"e{i}", "r", "issued" if n >= 0 else "returned", abs(n)) for i, (n, _, _) in enumerate(rows)], "edge string, replica string, kind string, amount long")
     got = {r["edge"]: Fraction(r["num"], r["den"]) for r in G.virtual_service(edges, counters).collect()}
     assert got == {f"e{i}": Fraction(n * d, w) for i, (n, w, d) in enumerate(rows)}
+
+
+MOVE = "tree string, ts long, replica string, seq long, node string, new_parent string, value string"
+
+
+def test_tree_compaction_keeps_every_parent(spark):
+    # plain: the first reparent of x is superseded by a stable one
+    plain = [("p", 1, "a", 1, "x", "root", "X"), ("p", 2, "a", 2, "y", "root", "Y"), ("p", 3, "b", 1, "x", "y", None), ("p", 4, "c", 1, "x", "root", None)]
+    # cyclic: without b's reparent of y to the root, y's creation under x would make x under y a cycle
+    cyclic = [("q", 1, "a", 1, "y", "x", "Y"), ("q", 2, "b", 1, "y", "root", None), ("q", 3, "c", 1, "x", "y", "X"), ("q", 4, "c", 2, "y", "z", None)]
+    moves = spark.createDataFrame(plain + cyclic, MOVE)
+    whole = spark.createDataFrame([("a", 9), ("b", 9), ("c", 9)], "replica string, upto long")
+    dropped = Q.tree_compactable(moves, whole, whole, whole)
+    assert rows(dropped) == [("p", "b", 1)]
+    kept = Q.tree_compact(moves, dropped)
+    assert kept.count() == 7 and rows(Q.tree_compact(kept, dropped)) == rows(kept)
+    assert rows(Q.tree_replay(kept)) == rows(Q.tree_replay(moves))
+    # the winner is not stable yet, or the frontier is not delivered: nothing goes
+    part = spark.createDataFrame([("a", 9), ("b", 9)], "replica string, upto long")
+    assert rows(Q.tree_compactable(moves, part, whole, whole)) == [] and rows(Q.tree_compactable(moves, whole, whole, part)) == []
+
+
+def test_tree_predicates_over_unknown_parents(spark):
+    placed = spark.createDataFrame([("t", "a", "root"), ("t", "b", "a"), ("t", "c", "lost"), ("t", "d", "c")], "tree string, node string, parent string")
+    spans = Q.tree_spans(placed, "root")
+    assert {r["node"]: (r["parent"], r["rooted"]) for r in spans.collect()} == {"root": (None, True), "a": ("root", True), "b": ("a", True), "lost": (None, False), "c": ("lost", False), "d": ("c", False)}
+    pairs = [("t", "root", "b"), ("t", "a", "b"), ("t", "b", "a"), ("t", "b", "b"), ("t", "lost", "d"), ("t", "root", "d"), ("t", "nobody", "a")]
+    got = Q.is_ancestor(spans, spark.createDataFrame(pairs, "tree string, ancestor string, descendant string"))
+    assert {r["ancestor"] + r["descendant"] for r in got.filter("above").collect()} == {"rootb", "ab", "lostd"} and got.count() == 7
+
+
+OP = "doc int, kind string, lamport long, replica string, seq long, after_lamport long, after_replica string, after_seq long, value string"
+
+
+def test_merge_under_a_floor_is_a_law(spark):
+    log = lambda *r: spark.createDataFrame(list(r), OP)
+    ins = lambda n, after: (1, "insert", n, "r", n, after, "r" if after else None, after, str(n))
+    a, b = log(ins(1, None), ins(2, 1)), log(ins(2, 1), ins(3, 2), (1, "remove", 2, "r", 2, None, None, None, None))
+    floors = spark.createDataFrame([(1, "r", 1), (1, "s", 7)], "doc int, replica string, upto long")
+    ab, ba = Q.oplog_merge(a, b, floors=floors), Q.oplog_merge(b, a, floors=floors)
+    assert rows(ab) == rows(ba) == rows(Q.oplog_merge(ab, a, floors=floors))
+    # the floored head is gone, and what came after it hangs from the document's head
+    assert [r["value"] for r in Q.rga_materialize(ab).orderBy("pos").collect()] == ["2", "3"]
+    cut = spark.createDataFrame([("r", 9)], "replica string, upto long")
+    late = spark.createDataFrame([("s", 1)], "replica string, upto long")
+    last = Q.oplog_merge(a, log((1, "remove", 2, "r", 2, None, None, None, None)))
+    assert [r["after_seq"] for r in Q.compactable(last, cut, cut, cut).collect()] == [1]
+    assert Q.compactable(last, cut, late, cut).count() == 0
+
+
+def test_json_reads_stop_at_leaves_and_removed_paths(spark):
+    edits = [(1, "a", "object", 1), (1, "a/b", "object", 1), (1, "a/b/c", "leaf", 1), (1, "x", "leaf", 1), (1, "x/y", "leaf", 1), (1, "z", "remove", 2), (1, "z", "leaf", 1)]
+    paths = Q.json_paths(spark.createDataFrame([(d, p, k, ts, "o", "v") for d, p, k, ts in edits], "doc int, path string, kind string, ts long, origin string, value string"))
+    assert [(r["at"], r["keys"]) for r in Q.json_keys(paths).orderBy("at").collect()] == [("", ["a", "x"]), ("a", ["b"]), ("a/b", ["c"])]

@@ -1110,11 +1110,40 @@ def _(t):
     return Q.remove_at(ops, ops.select("doc", F.lit(1).alias("index"))).select("doc", "lamport", "replica", "seq")
 
 
-@query("q4_compactable", f"WITH {_ENDS} SELECT doc, n AS lamport, 'r' || (n % 2) AS replica, n AS seq FROM nx WHERE f = 'R' AND nxt IS NULL AND n <= CASE n % 2 WHEN 0 THEN 6 ELSE 5 END")
+@query("q2_merge_floor", """WITH li AS (SELECT l_orderkey AS doc, l_linenumber::BIGINT AS n, min(l_returnflag) AS f FROM lineitem GROUP BY 1, 2), k AS (SELECT * FROM li WHERE n > CASE WHEN doc % 2 = 1 THEN 0 WHEN n % 2 = 1 THEN 3 ELSE 2 END)
+SELECT doc, unnest(CASE WHEN f = 'R' THEN ['insert', 'remove'] ELSE ['insert'] END) AS kind, n AS lamport, 'r' || (n % 2) AS replica, n AS seq FROM k""")
+def _(t):
+    ops = line_ops(t)
+    # even documents: one side has forgotten up to r0:2 and r1:1, the other up to r1:3
+    even = ops.filter("doc % 2 = 0").select("doc").distinct()
+    floor = lambda r, n: even.select("doc", F.lit(r).alias("replica"), F.lit(n).cast("long").alias("upto"))
+    floors = L.piece(floor("r0", 2), floor("r1", 1), floor("r1", 3))
+    return Q.oplog_merge(ops, ops.filter("seq % 2 = 0"), floors=floors).select("doc", "kind", "lamport", "replica", "seq")
+
+
+@query("q4_compactable", f"WITH {_ENDS}, b AS (SELECT *, lag(n) OVER (PARTITION BY doc ORDER BY n) AS before FROM nx) SELECT doc, 'compact' AS kind, n AS lamport, 'r' || (n % 2) AS replica, n AS seq, before AS after_lamport, 'r' || (before % 2) AS after_replica, before AS after_seq FROM b WHERE f = 'R' AND nxt IS NULL AND n <= CASE n % 2 WHEN 0 THEN 6 ELSE 5 END")
 def _(t):
     return Q.compactable(line_ops(t), t.rows([("r0", 6), ("r1", 5)], "replica string, upto long"))
 
 
+@query("q4_frontier", f"WITH {_ENDS} SELECT doc, n AS lamport, 'r' || (n % 2) AS replica, n AS seq FROM nx WHERE f = 'R' AND nxt IS NULL AND doc % 3 <> 0")
+def _(t):
+    ops = line_ops(t)
+    known = ops.groupBy("doc", "replica").agg(F.max("seq").alias("upto"))
+    # every third document knows of an op of r1 that has not come yet
+    coming = known.select("doc").distinct().filter("doc % 3 = 0").select("doc", F.lit("r1").alias("replica"), F.lit(99).cast("long").alias("upto"))
+    return Q.compactable(ops, known, L.piece(known, coming), known).select("doc", "lamport", "replica", "seq")
+
+
+@query("q6_reroot", f"WITH {_SIDES}, k AS (SELECT doc, n, value, min(n) OVER (PARTITION BY doc, n % 2) AS head FROM sd WHERE visible) SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY head DESC, n) - 1 AS pos, value FROM k")
+def _(t):
+    ops = concurrent_ops(t)
+    inserts, removes = ops.filter("kind = 'insert'"), ops.filter("kind = 'remove'").select("doc", "lamport", "replica", "seq")
+    compacts = inserts.join(removes, ["doc", "lamport", "replica", "seq"], "left_semi").withColumns({"kind": F.lit("compact"), "value": F.lit(None).cast("string")})
+    # what came after the compacted elements hangs from the nearest one that is kept
+    return Q.rga_materialize(Q.oplog_merge(ops, compacts)).select("doc", "pos", "value")
+
+
 @query("q5_drop_window", f"""WITH {_ENDS}, fl AS (SELECT doc, CASE WHEN NOT bool_or(n = 1) THEN 0 WHEN doc % 2 = 0 THEN CASE WHEN bool_or(n = 3) THEN 3 ELSE 2 END ELSE 1 END AS upto FROM li WHERE n <= 4 GROUP BY doc)
 SELECT doc, 'floor' AS kind, NULL::BIGINT AS lamport, 'r1' AS replica, upto::BIGINT AS seq FROM fl WHERE upto > 0
 UNION ALL SELECT doc, 'compact', n, 'r' || (n % 2), n FROM li JOIN fl USING (doc) WHERE n <= 4 AND NOT (n % 2 = 1 AND n <= upto)""")
@@ -1163,6 +1192,106 @@ def _(t):
     return Q.tree_replay(every).select("tree", "node", "parent")
 
 
+def tree_moves(t: Tables) -> DataFrame:
+    """A tree of three children a node for each nation's customers, made at i, then moved to the top at 10000 + i (odd i) and, i % 4 = 1, back at 20000 + i."""
+    order = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    n = t.customer.select(F.col("c_nationkey").alias("tree"), (F.row_number().over(order) - 1).cast("long").alias("i"))
+    up = F.when(F.col("i") == 0, "root").otherwise(F.floor((F.col("i") - 1) / 3).cast("string"))
+    move = lambda rows, ts, replica, parent, value: rows.select("tree", (F.col("i") + ts).alias("ts"), F.lit(replica).alias("replica"), (F.col("i") + 1).alias("seq"), F.col("i").cast("string").alias("node"), parent.alias("new_parent"), value.cast("string").alias("value"))
+    return L.piece(
+        move(n, 0, "a", up, F.col("i")), move(n.filter("i % 2 = 1"), 10_000, "b", F.lit("root"), F.lit(None)), move(n.filter("i % 4 = 1"), 20_000, "c", up, F.lit(None)),
+    )
+
+
+_TREE = """n AS (SELECT c_nationkey AS tree, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer),
+e AS (SELECT tree, i, CASE WHEN i = 0 OR i % 4 = 3 THEN -1 ELSE (i - 1) // 3 END AS up FROM n),
+p AS (SELECT tree, i, up, 1 AS depth FROM e UNION ALL SELECT p.tree, p.i, e.up, p.depth + 1 FROM p JOIN e ON e.tree = p.tree AND e.i = p.up WHERE p.up >= 0)"""
+
+
+@query("p11_tree", f"""WITH RECURSIVE {_TREE}, d AS (SELECT tree, i, max(depth) AS depth FROM p GROUP BY ALL), b AS (SELECT tree, up AS i, count(*) AS below FROM p GROUP BY ALL), c AS (SELECT tree, up AS i, count(*) AS children FROM e GROUP BY ALL)
+SELECT tree, i::VARCHAR AS node, CASE WHEN up < 0 THEN 'root' ELSE up::VARCHAR END AS parent, depth::BIGINT AS depth, coalesce(below, 0)::BIGINT AS below, coalesce(children, 0)::BIGINT AS children, TRUE AS rooted, i::VARCHAR AS value
+FROM e JOIN d USING (tree, i) LEFT JOIN b USING (tree, i) LEFT JOIN c USING (tree, i)""")
+def _(t):
+    placed = Q.tree_replay(tree_moves(t))
+    spans = Q.tree_spans(placed, "root")
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("children")
+    return (
+        spans.join(Q.children_of(spans), ["tree", "node"], "left").join(placed.select("tree", "node", "value"), ["tree", "node"])
+        .select("tree", "node", "parent", "depth", (F.col("leave") - F.col("enter")).alias("below"), n, "rooted", "value")
+    )
+
+
+@query("p11_is_ancestor", f"""WITH RECURSIVE {_TREE}, q AS (SELECT tree, i // 5 AS a, i AS d FROM n)
+SELECT tree, a::VARCHAR AS ancestor, d::VARCHAR AS descendant, EXISTS (SELECT 1 FROM p WHERE p.tree = q.tree AND p.i = q.d AND p.up = q.a) AS above FROM q""")
+def _(t):
+    moves = tree_moves(t)
+    pairs = moves.filter("replica = 'a'").select("tree", F.expr("cast(cast(node as long) div 5 as string)").alias("ancestor"), F.col("node").alias("descendant"))
+    return Q.is_ancestor(Q.tree_spans(Q.tree_replay(moves), "root"), pairs)
+
+
+@query("q9_tree_compactable", "WITH n AS (SELECT c_nationkey AS tree, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer) SELECT tree, 'b' AS replica, i + 1 AS seq FROM n WHERE i % 4 = 1 AND i <= 20 AND tree % 5 <> 0")
+def _(t):
+    moves = tree_moves(t)
+    stable = t.rows([("a", 10_000), ("b", 30), ("c", 21)], "replica string, upto long")
+    got = moves.groupBy("tree", "replica").agg(F.max("seq").alias("upto"))
+    # every fifth tree knows of a move of d that has not come yet
+    coming = got.select("tree").distinct().filter("tree % 5 = 0").select("tree", F.lit("d").alias("replica"), F.lit(1).cast("long").alias("upto"))
+    return Q.tree_compactable(moves, stable, L.piece(got, coming), got)
+
+
+@query("q9_tree_compact", f"WITH RECURSIVE {_TREE} SELECT tree, i::VARCHAR AS node, CASE WHEN up < 0 THEN 'root' ELSE up::VARCHAR END AS parent FROM e")
+def _(t):
+    moves = tree_moves(t)
+    got = moves.groupBy("tree", "replica").agg(F.max("seq").alias("upto"))
+    return Q.tree_replay(Q.tree_compact(moves, Q.tree_compactable(moves, got, got, got))).select("tree", "node", "parent")
+
+
+@query("q7_fugue_compact", """WITH c AS (SELECT DISTINCT conv_id AS doc, turn::BIGINT AS turn FROM conversations), k AS (SELECT *, lead(turn) OVER (PARTITION BY doc ORDER BY turn) AS nxt FROM c)
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY turn, late) - 1 AS pos, CASE late WHEN 1 THEN 'late' ELSE turn::VARCHAR END AS value FROM k, range(2) r(late) WHERE late = 0 AND (nxt IS NOT NULL OR turn % 2 = 0) OR late = 1 AND nxt IS NULL""")
+def _(t):
+    null = lambda k: F.lit(None).cast(k)
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    c = t.conversations.select("conv_id", F.col("turn").cast("long").alias("turn")).distinct().withColumns({"p": F.lag("turn").over(order), "nxt": F.lead("turn").over(order)})
+    columns = lambda kind, replica, seq, pr, ps, value: [F.col("conv_id").alias("doc"), F.lit(kind).alias("kind"), F.lit(replica).alias("replica"), seq.alias("seq"), pr.alias("parent_replica"), ps.alias("parent_seq"), F.lit("R").alias("side"), null("string").alias("right_replica"), null("long").alias("right_seq"), value.cast("string").alias("value")]
+    ins = c.select(*columns("insert", "r", F.col("turn"), F.when(F.col("p").isNotNull(), "r"), F.col("p"), F.col("turn")))
+    last = c.filter("nxt is null")
+    rem = last.filter("turn % 2 = 1").select(*columns("remove", "r", F.col("turn"), null("string"), null("long"), null("string")))
+    log = L.piece(ins, rem)
+    known = ins.groupBy("doc", "replica").agg(F.max("seq").alias("upto"))
+    compacts = Q.fugue_compactable(log, known, known, known).withColumns({"right_replica": null("string"), "right_seq": null("long"), "value": null("string")})
+    # an insert after the compacted element still comes in, from a replica that had not seen the removal
+    late = last.select(*columns("insert", "s", F.lit(1).cast("long"), F.lit("r"), F.col("turn"), F.lit("late")))
+    return Q.fugue_materialize(Q.fugue_merge(log, compacts, L.piece(late, log))).select("doc", "pos", "value")
+
+
+def json_edits(t: Tables) -> DataFrame:
+    """An event log as documents: a leaf for each type under 'last', a list under 'seen', and 'gone' removed; users divisible by 5 write a leaf over 'last'."""
+    e = t.events.select(F.col("user_id").alias("doc"), F.col("event_type").alias("type"), F.col("event_id").alias("ts"), F.col("value").cast("string").alias("value"))
+    edit = lambda rows, path, kind, value: rows.select("doc", path.alias("path"), F.lit(kind).alias("kind"), "ts", F.lit("o").alias("origin"), value.cast("string").alias("value"))
+    none = F.lit(None)
+    return L.piece(
+        edit(e.filter("doc % 5 <> 0"), F.lit("last"), "object", none), edit(e.filter("doc % 5 = 0"), F.lit("last"), "leaf", F.lit("v")),
+        edit(e, F.concat(F.lit("last/"), F.col("type")), "leaf", F.col("value")), edit(e, F.lit("seen"), "array", none),
+        edit(e, F.lit("gone"), "remove", none), edit(e, F.lit("gone/x"), "leaf", F.lit("v")),
+    )
+
+
+@query("q10_keys", """WITH k AS (SELECT DISTINCT user_id AS doc, event_type AS key FROM events)
+SELECT doc, 'last' AS at, array_to_string(list(key ORDER BY key), ',') AS keys FROM k WHERE doc % 5 <> 0 GROUP BY doc UNION ALL SELECT DISTINCT doc, '', 'last,seen' FROM k""")
+def _(t):
+    return Q.json_keys(Q.json_paths(json_edits(t))).withColumn("keys", F.array_join("keys", ","))
+
+
+@query("q10_lists", "SELECT user_id AS doc, 'seen' AS path, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS pos, event_type AS value FROM events WHERE event_type <> 'error'")
+def _(t):
+    null = lambda k: F.lit(None).cast(k)
+    # each event is put at the head of its user's list, errors are removed again; what hangs under 'last' is no list
+    op = lambda kind, value: [F.col("user_id").alias("doc"), F.lit("seen").alias("path"), F.lit(kind).alias("kind"), F.col("event_id").alias("lamport"), F.lit("r").alias("replica"), F.col("event_id").alias("seq"), null("long").alias("after_lamport"), null("string").alias("after_replica"), null("long").alias("after_seq"), value.alias("value")]
+    ins = t.events.select(*op("insert", F.col("event_type")))
+    ops = L.piece(ins, ins.withColumn("path", F.lit("last")), t.events.filter("event_type = 'error'").select(*op("remove", null("string"))))
+    return Q.json_lists(Q.json_paths(json_edits(t)), ops)
+
+
 @query("q10_json", "WITH e AS (SELECT user_id AS doc, event_type AS path, CASE WHEN event_id % 9 = 0 THEN 'object' WHEN event_id % 9 = 1 THEN 'array' ELSE 'leaf' END AS kind, event_id AS ts, value::VARCHAR AS v FROM events), r AS (SELECT *, CASE kind WHEN 'object' THEN 3 WHEN 'array' THEN 2 ELSE 1 END AS k FROM e) SELECT doc, path, arg_max(kind, (k, ts)) AS kind, max(k)::INTEGER AS rank FROM r GROUP BY 1, 2")
 def _(t):
     kind = F.when(F.col("event_id") % 9 == 0, "object").when(F.col("event_id") % 9 == 1, "array").otherwise("leaf")

@@ -51,26 +51,28 @@ def rga_order(ops: list[dict]) -> list[tuple]:
     return out
 
 
-def _by_document(ops: DataFrame, work, schema: str, columns: list[str] | None = None) -> DataFrame:
+def _by_document(ops: DataFrame, work, schema: str, columns: list[str] | None = None, key: str = "doc") -> DataFrame:
     """work(doc, rows) for each document, whose rows come together: dealt by document, sorted, streamed. Holds one document at a time and costs no call for each."""
+    columns = columns or _ORDERED
 
     def run(batches):
         doc, held, out = None, [], []
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                if held and r.doc != doc:
+                here = getattr(r, key)
+                if held and here != doc:
                     out += work(doc, held)
                     held = []
                     if len(out) > 20_000:
-                        yield pd.DataFrame(out, columns=columns or _ORDERED)
+                        yield pd.DataFrame(out, columns=columns)
                         out = []
-                doc = r.doc
+                doc = here
                 held.append(r)
         if held:
             out += work(doc, held)
-        yield pd.DataFrame(out, columns=columns or _ORDERED)
+        yield pd.DataFrame(out, columns=columns)
 
-    return ops.repartition("doc").sortWithinPartitions("doc").mapInPandas(run, schema)
+    return ops.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
 
 
 _ORDERED = ["doc", "pos", "value", "visible"]
@@ -150,24 +152,56 @@ def remove_first(ops: DataFrame, counts: DataFrame) -> DataFrame:
     return hit.select("doc", F.lit("remove").alias("kind"), "lamport", "replica", "seq")
 
 
-def oplog_merge(*logs: DataFrame) -> DataFrame:
-    """Union of op logs: one row for each op, inserts under a compaction gone."""
+def oplog_merge(*logs: DataFrame, floors: DataFrame | None = None, ident: tuple[str, ...] = ("lamport", "replica", "seq")) -> DataFrame:
+    """Union of op logs: one row for each op, inserts and removes under a compaction gone, and those at or under a floor.
+
+    floors: doc, replica, upto of all replicas; the largest counts. Compactions stay, for they tell where orphans go.
+    """
     from tidefold.operators.lattice import piece
 
-    ident = ["doc", "lamport", "replica", "seq"]
-    every = piece(*logs).dropDuplicates([*ident, "kind"])
-    gone = every.filter("kind = 'compact'").select(*ident)
-    rest = every.filter("kind <> 'compact'").join(gone, ident, "left_anti")
-    return rest.unionByName(every.filter("kind = 'compact'"))
+    name = ["doc", *ident]
+    every = piece(*logs).dropDuplicates([*name, "kind"])
+    compacts = every.filter("kind = 'compact'")
+    rest = every.filter("kind <> 'compact'").join(compacts.select(*name), name, "left_anti")
+    if floors is not None:
+        top = floors.groupBy("doc", "replica").agg(F.max("upto").alias("__upto"))
+        rest = rest.join(top, ["doc", "replica"], "left").filter(F.col("__upto").isNull() | (F.col("seq") > F.col("__upto"))).select(*every.columns)
+    return rest.unionByName(compacts)
+
+
+def _vector_key(vector: DataFrame, scope: str) -> list[str]:
+    """A version vector (replica, upto) holds for all documents, or for one each if it has their column."""
+    return [scope, "replica"] if scope in vector.columns else ["replica"]
+
+
+def _frontier_complete(rows: DataFrame, frontier: DataFrame, delivered: DataFrame, scope: str) -> DataFrame:
+    """rows of the documents whose frontier has been delivered whole: until then an unseen op may still refer to what would go."""
+    key = _vector_key(frontier, scope)
+    got = delivered.select(*_vector_key(delivered, scope), F.col("upto").alias("__got"))
+    behind = frontier.join(got, _vector_key(delivered, scope), "left").filter(F.col("upto") > F.coalesce("__got", F.lit(0)))
+    if scope in key:
+        return rows.join(behind.select(scope), scope, "left_anti")
+    waits = behind.agg((F.count(F.lit(1)) > 0).alias("__waits"))  # one row
+    return rows.crossJoin(F.broadcast(waits)).filter("not __waits").drop("__waits")
 
 
-def compactable(ops: DataFrame, stable: DataFrame) -> DataFrame:
-    """Removed inserts at or under the stable cut (replica, upto) that nothing kept comes after: they may be compacted now."""
+def compactable(ops: DataFrame, stable: DataFrame, frontier: DataFrame | None = None, delivered: DataFrame | None = None) -> DataFrame:
+    """doc, kind, lamport, replica, seq, after_lamport, after_replica, after_seq: the compactions that may be made now.
+
+    An insert qualifies if it is removed, at or under the stable cut, and nothing kept comes after it; none does in a
+    document where what is delivered lags behind the frontier. The vectors are (replica, upto), or (doc, replica, upto).
+    Each compaction names its predecessor, so that an insert that arrives late finds its place.
+    """
     ident = ["doc", "lamport", "replica", "seq"]
     inserts, removes = ops.filter("kind = 'insert'"), ops.filter("kind = 'remove'").select(*ident).distinct()
-    dead = inserts.join(removes, ident, "left_semi").join(stable, "replica").filter(F.col("seq") <= F.col("upto"))
+    dead = inserts.join(removes, ident, "left_semi").join(stable, _vector_key(stable, "doc")).filter(F.col("seq") <= F.col("upto"))
     used = inserts.filter("after_seq is not null").select("doc", F.col("after_lamport").alias("lamport"), F.col("after_replica").alias("replica"), F.col("after_seq").alias("seq")).distinct()
-    return dead.join(used, ident, "left_anti").select(*ident)
+    free = dead.join(used, ident, "left_anti")
+    if frontier is not None:
+        if delivered is None:
+            raise ValueError("a frontier needs the vector of what is delivered")
+        free = _frontier_complete(free, frontier, delivered, "doc")
+    return free.select("doc", F.lit("compact").alias("kind"), "lamport", "replica", "seq", "after_lamport", "after_replica", "after_seq")
 
 
 def drop_window(ops: DataFrame, dropped: DataFrame, own: str, floors: DataFrame) -> DataFrame:
@@ -229,51 +263,169 @@ def fugue_order(nodes: list[dict]) -> list[tuple]:
     return [(i, by_id[i]["value"]) for i in order]
 
 
+_FUGUE = ("replica", "seq")
+
+
 def fugue_materialize(ops: DataFrame) -> DataFrame:
-    """doc, pos, value, visible from ops (doc, kind, replica, seq, parent_replica, parent_seq, side, right_replica, right_seq, value)."""
+    """doc, pos, value, visible from ops (doc, kind, replica, seq, parent_replica, parent_seq, side, right_replica, right_seq, value).
+
+    A compaction names the parent and side of what is gone; orphans hang from the nearest kept ancestor. Only inserts
+    without children are compacted, so an orphan is an insert that arrived after the compaction.
+    """
 
     def ident(a, b):
-        return None if pd.isna(b) else (str(a), int(b))
+        return None if pd.isna(a) else (str(a), int(b))
+
+    def work(doc, rows):
+        nodes, removed, gone = {}, set(), {}
+        for r in rows:
+            name = ident(r.replica, r.seq)
+            if r.kind == "remove":
+                removed.add(name)
+            elif r.kind == "compact":
+                gone[name] = (ident(r.parent_replica, r.parent_seq), r.side)
+            else:
+                nodes[name] = {"id": name, "parent": ident(r.parent_replica, r.parent_seq), "side": r.side, "right_origin": ident(r.right_replica, r.right_seq), "value": r.value}
+        kept = []
+        for name, node in nodes.items():
+            if name in gone:
+                continue
+            parent, side = node["parent"], node["side"]
+            while parent in gone:
+                parent, side = gone[parent]
+            kept.append(node | {"parent": parent, "side": side})
+        return [(doc, pos, value, name not in removed) for pos, (name, value) in enumerate(fugue_order(kept))]
+
+    return _by_document(ops, work, f"doc {ops.schema['doc'].dataType.simpleString()}, pos long, value string, visible boolean")
+
+
+def fugue_merge(*logs: DataFrame) -> DataFrame:
+    """Union of Fugue op logs, without what is compacted."""
+    return oplog_merge(*logs, ident=_FUGUE)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        removed = {ident(r.replica, r.seq) for r in pdf.itertuples(index=False) if r.kind == "remove"}
-        nodes = {
-            ident(r.replica, r.seq): {"id": ident(r.replica, r.seq), "parent": ident(r.parent_replica, r.parent_seq), "side": r.side, "right_origin": ident(r.right_replica, r.right_seq), "value": r.value}
-            for r in pdf.itertuples(index=False) if r.kind == "insert"
-        }
-        got = fugue_order(list(nodes.values()))
-        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]] * len(got), "pos": range(len(got)), "value": [v for _, v in got], "visible": [i not in removed for i, _ in got]})
 
-    return ops.groupBy("doc").applyInPandas(run, f"doc {ops.schema['doc'].dataType.simpleString()}, pos long, value string, visible boolean")
+def fugue_compactable(ops: DataFrame, stable: DataFrame, frontier: DataFrame, delivered: DataFrame) -> DataFrame:
+    """The compactions (with parent and side) of removed, stable inserts that no insert names as parent or right origin, where the frontier is delivered."""
+    name = ["doc", *_FUGUE]
+    inserts, removes = ops.filter("kind = 'insert'"), ops.filter("kind = 'remove'").select(*name).distinct()
+    dead = inserts.join(removes, name, "left_semi").join(stable, _vector_key(stable, "doc")).filter(F.col("seq") <= F.col("upto"))
+    named = lambda p: inserts.filter(F.col(f"{p}_seq").isNotNull()).select("doc", F.col(f"{p}_replica").alias("replica"), F.col(f"{p}_seq").alias("seq"))
+    free = dead.join(named("parent").union(named("right")).distinct(), name, "left_anti")
+    return _frontier_complete(free, frontier, delivered, "doc").select("doc", F.lit("compact").alias("kind"), *_FUGUE, "parent_replica", "parent_seq", "side")
 
 
 def replay_moves(moves: list[tuple]) -> dict:
-    """node -> (parent, value) after the moves (ts, replica, seq, node, parent, value) in (ts, replica) order, without those that close a cycle."""
+    """node -> the move that places it, after the moves (ts, replica, seq, node, parent, value) in (ts, replica) order, without those that close a cycle."""
     best: dict = {}
     for m in moves:
         k = (m[0], m[1])
         if k not in best or m[2] > best[k][2]:
             best[k] = m
     at: dict = {}
-    for _, _, _, node, parent, value in (best[k] for k in sorted(best)):
+    for m in (best[k] for k in sorted(best)):
+        node, parent = m[3], m[4]
         up, cyclic = parent, node == parent
         while up is not None and not cyclic:
             cyclic = up == node
-            up = at[up][0] if up in at else None
+            up = at[up][4] if up in at else None
         if not cyclic:
-            at[node] = (parent, value)
+            at[node] = m
     return at
 
 
+def _moves(rows) -> dict:
+    return replay_moves([(r.ts, r.replica, r.seq, r.node, None if pd.isna(r.new_parent) else r.new_parent, r.value) for r in rows])
+
+
 def tree_replay(moves: DataFrame) -> DataFrame:
-    """tree, node, parent, value from moves (tree, ts, replica, seq, node, new_parent, value)."""
+    """tree, node, parent, value from moves (tree, ts, replica, seq, node, new_parent, value).
+
+    A node keeps the value of its first move that has one; moves without a value only place it.
+    """
+
+    def work(tree, rows):
+        values: dict = {}
+        for r in sorted(rows, key=lambda r: (r.ts, r.replica)):
+            if not pd.isna(r.value):
+                values.setdefault(r.node, r.value)
+        return [(tree, node, m[4], values.get(node)) for node, m in _moves(rows).items()]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r.ts, r.replica, r.seq, r.node, None if pd.isna(r.new_parent) else r.new_parent, r.value) for r in pdf.itertuples(index=False)]
-        at = replay_moves(rows)
-        return pd.DataFrame({"tree": [pdf["tree"].iloc[0]] * len(at), "node": list(at), "parent": [p for p, _ in at.values()], "value": [v for _, v in at.values()]})
+    kind = moves.schema["tree"].dataType.simpleString()
+    return _by_document(moves, work, f"tree {kind}, node string, parent string, value string", ["tree", "node", "parent", "value"], "tree")
 
-    return moves.groupBy("tree").applyInPandas(run, f"tree {moves.schema['tree'].dataType.simpleString()}, node string, parent string, value string")
+
+def tree_compactable(moves: DataFrame, stable: DataFrame, frontier: DataFrame, delivered: DataFrame) -> DataFrame:
+    """tree, replica, seq: stable moves that a stable move of the same node supersedes, where the frontier is delivered.
+
+    Moves with a value create their node, which they name themselves, so they stay while the log holds them. Moves that
+    were skipped for a cycle, or would be without those that go, make the rest depend on them: a tree whose parents would
+    change is left as it is. The vectors are (replica, upto), or (tree, replica, upto).
+    """
+    key = _vector_key(stable, "tree")
+    cut = stable.select(*key, F.col("upto").alias("cut"))
+    ready = _frontier_complete(moves.join(cut, key, "left").withColumn("cut", F.coalesce("cut", F.lit(0)).cast("long")), frontier, delivered, "tree")
+
+    def work(tree, rows):
+        stays = {(r.replica, r.seq) for r in rows if r.seq <= r.cut}
+        at = _moves(rows)
+        by = {node: (m[1], m[2]) for node, m in at.items()}
+        gone = {(r.replica, r.seq) for r in rows if pd.isna(r.value) and (r.replica, r.seq) in stays and by.get(r.node) in stays and by[r.node] != (r.replica, r.seq)}
+        after = _moves([r for r in rows if (r.replica, r.seq) not in gone]) if gone else {}
+        same = {n: m[4] for n, m in after.items()} == {n: m[4] for n, m in at.items()}
+        return [(tree, replica, seq) for replica, seq in sorted(gone)] if same else []
+
+    kind = moves.schema["tree"].dataType.simpleString()
+    return _by_document(ready, work, f"tree {kind}, replica string, seq long", ["tree", "replica", "seq"], "tree")
+
+
+def tree_compact(moves: DataFrame, dropped: DataFrame) -> DataFrame:
+    """moves without the dropped ones (tree, replica, seq); applying the same drops again changes nothing."""
+    return moves.join(dropped, ["tree", "replica", "seq"], "left_anti").select(*moves.columns)
+
+
+def tree_spans(placed: DataFrame, root: str) -> DataFrame:
+    """tree, node, parent, depth, enter, leave, rooted: one numbering of each tree, from which its predicates are joins.
+
+    placed: tree, node, parent. A parent that is placed nowhere is a top of its own, with a null parent; what lies under it
+    is not rooted unless it is the root. The numbers of a node's descendants are those over enter, up to leave.
+    """
+
+    def work(tree, rows):
+        up = {r.node: None if pd.isna(r.parent) else r.parent for r in rows}
+        below: dict = {}
+        for node, parent in up.items():
+            below.setdefault(parent, []).append(node)
+        tops = sorted({root} | {p for p in up.values() if p is not None and p not in up} | {n for n, p in up.items() if p is None})
+        out, number = [], 0
+        for top in tops:
+            stack = [(top, 0, None)]
+            while stack:
+                node, depth, at = stack.pop()
+                if at is None:
+                    number += 1
+                    stack.append((node, depth, number))
+                    stack.extend((c, depth + 1, None) for c in sorted(below.get(node, ()), reverse=True))
+                else:
+                    out.append((tree, node, up.get(node), depth, at, number, top == root))
+        return out
+
+    kind = placed.schema["tree"].dataType.simpleString()
+    columns = ["tree", "node", "parent", "depth", "enter", "leave", "rooted"]
+    return _by_document(placed, work, f"tree {kind}, node string, parent string, depth long, enter long, leave long, rooted boolean", columns, "tree")
+
+
+def children_of(spans: DataFrame) -> DataFrame:
+    """tree, node, n: how many direct children each node has; leaves are left out."""
+    return spans.filter("parent is not null").groupBy("tree", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def is_ancestor(spans: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (tree, ancestor, descendant) with above: whether the one lies on the other's path, itself excluded. Unknown nodes lie on none."""
+    a = spans.select("tree", F.col("node").alias("ancestor"), F.col("enter").alias("__lo"), F.col("leave").alias("__hi"))
+    d = spans.select("tree", F.col("node").alias("descendant"), F.col("enter").alias("__at"))
+    met = pairs.join(a, ["tree", "ancestor"], "left").join(d, ["tree", "descendant"], "left")
+    above = F.coalesce((F.col("__lo") < F.col("__at")) & (F.col("__at") <= F.col("__hi")), F.lit(False))
+    return met.select(*pairs.columns, above.alias("above"))
 
 
 def json_paths(edits: DataFrame) -> DataFrame:
@@ -287,3 +439,33 @@ def json_paths(edits: DataFrame) -> DataFrame:
     kept = ranked.withColumn("top", F.max("rank").over(top)).filter(F.col("rank") == F.col("top"))
     last = kept.groupBy("doc", "path").agg(F.max_by(F.struct("kind", "value"), F.struct("ts", "origin")).alias("w"))
     return last.select("doc", "path", "w.kind", "w.value").filter("kind <> 'remove'")
+
+
+def json_live(paths: DataFrame, sep: str = "/") -> DataFrame:
+    """The rows of json_paths whose every enclosing path is an object: what lies under a leaf, a list or a removed path is not read."""
+    steps = F.split("path", sep)
+    above = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.array_join(F.slice(steps, 1, i), sep))
+    deep = paths.filter(F.size(steps) > 1).select("doc", "path", (F.size(steps) - 1).alias("need"), F.explode(above).alias("up"))
+    objects = paths.filter("kind = 'object'").select("doc", F.col("path").alias("up"))
+    whole = deep.join(objects, ["doc", "up"]).groupBy("doc", "path", "need").count().filter(F.col("count") == F.col("need")).select("doc", "path")
+    return paths.filter(F.size(steps) == 1).unionByName(paths.join(whole, ["doc", "path"], "left_semi"))
+
+
+def json_keys(paths: DataFrame, sep: str = "/") -> DataFrame:
+    """doc, at, keys: the sorted keys of each live object that has any; '' is the document itself."""
+    steps = F.split("path", sep)
+    at = F.array_join(F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))), sep)
+    rows = json_live(paths, sep).select("doc", at.alias("at"), F.element_at(steps, -1).alias("key"))
+    return rows.groupBy("doc", "at").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+
+
+def json_lists(paths: DataFrame, ops: DataFrame, sep: str = "/") -> DataFrame:
+    """doc, path, pos, value: the visible members of the live lists, from sequence ops with doc and path."""
+    lists = json_live(paths, sep).filter("kind = 'array'").select("doc", "path")
+    held = ops.join(lists, ["doc", "path"], "left_semi")
+    named = held.select(F.to_json(F.struct("doc", "path")).alias("doc"), *(c for c in ops.columns if c not in ("doc", "path")))
+    shown = rga_materialize(named).filter("visible")
+    at = F.row_number().over(Window.partitionBy("doc").orderBy("pos")).cast("long") - 1
+    kind = ops.schema["doc"].dataType.simpleString()
+    back = F.from_json("doc", f"doc {kind}, path string")
+    return shown.select(back.alias("of"), at.alias("pos"), "value").select("of.doc", "of.path", "pos", "value")
