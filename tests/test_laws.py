@@ -333,3 +333,50 @@ def test_json_reads_stop_at_leaves_and_removed_paths(spark):
     edits = [(1, "a", "object", 1), (1, "a/b", "object", 1), (1, "a/b/c", "leaf", 1), (1, "x", "leaf", 1), (1, "x/y", "leaf", 1), (1, "z", "remove", 2), (1, "z", "leaf", 1)]
     paths = Q.json_paths(spark.createDataFrame([(d, p, k, ts, "o", "v") for d, p, k, ts in edits], "doc int, path string, kind string, ts long, origin string, value string"))
     assert [(r["at"], r["keys"]) for r in Q.json_keys(paths).orderBy("at").collect()] == [("", ["a", "x"]), ("a", ["b"]), ("a/b", ["c"])]
+
+
+def test_rationals_are_exact_and_raise_beyond_64_bits(spark):
+    from tidefold.functions import rational as R
+
+    draw = random.Random(5)
+    made = [(draw.randint(-m, m), draw.choice((-1, 1)) * draw.randint(1, m), draw.randint(1, m), draw.randint(1, m)) for m in (9, 10**5, 10**9) for _ in range(40)]
+    made += [(2**62, 1, 2**62 - 1, 1), (0, 5, 1, 7), (-(2**62), 1, -(2**62), 1)]
+    df = spark.createDataFrame(made, "a long, b long, c long, d long").select("*", R.rational(F.col("a"), F.col("b")).alias("x"), R.rational(F.col("c"), F.col("d")).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    got = df.filter("a > -4611686018427387904").select("a", "b", "c", "d", R.plus(x, y).alias("s"), R.minus(x, y).alias("m"), R.compared(x, y).alias("k"), R.ceiling(x).alias("e"), R.greatest(x, y).alias("g")).collect()
+    for r in got:
+        p, q = Fraction(r.a, r.b), Fraction(r.c, r.d)
+        assert [(v.num, v.den) for v in (r.s, r.m, r.g)] == [(v.numerator, v.denominator) for v in (p + q, p - q, max(p, q))]
+        assert (r.k, r.e) == ((p > q) - (p < q), -(-p.numerator // p.denominator))
+    for r in df.filter("abs(a) <= 100000 and abs(c) <= 100000 and d < 100000 and abs(b) < 100000").select("a", "b", "c", "d", R.times(x, y).alias("p"), R.over(x, y).alias("q")).collect():
+        p, q = Fraction(r.a, r.b), Fraction(r.c, r.d)
+        assert [(v.num, v.den) for v in (r.p, r.q)] == [(v.numerator, v.denominator) for v in (p * q, p / q)]
+    with pytest.raises(Exception, match="64 bits"):
+        df.filter("a = 4611686018427387904").select(R.plus(x, R.plus(y, y)).alias("z")).collect()
+    none = spark.sql("select cast(null as bigint) a, 1L b").select(R.rational(F.col("a"), F.col("b")).alias("x"))
+    assert none.select(R.plus(F.col("x"), F.col("x")).alias("s")).first()["s"] is None
+
+
+def test_causal_stamps_follow_the_frontier(spark):
+    from tidefold.operators import stamps as S
+
+    log = [("a", 1, "tick", None, None), ("a", 2, "observe", "b", 4), ("a", 3, "observe", "b", 4), ("a", 4, "tick", None, None), ("a", 5, "clear", None, None), ("a", 6, "tick", None, None), ("a", 7, "observe", "b", 9), ("a", 8, "clear", None, None), ("a", 9, "observe", "c", 1), ("b", 1, "observe", "a", 1)]
+    df = spark.createDataFrame(log, "replica string, idx long, kind string, from_replica string, from_seq long")
+    assert [(r.idx, r.seq, [tuple(d) for d in r.predecessors]) for r in S.causal_stamps(df).orderBy("idx").collect()] == [(1, 1, []), (4, 2, [("a", 1), ("b", 4)]), (6, 3, [])]
+    assert {r.replica: [tuple(d) for d in r.frontier] for r in S.causal_frontier(df).collect()} == {"a": [("c", 1)], "b": [("a", 1)]}
+    assert [tuple(d) for d in S.causal_frontier(df.filter("replica = 'a' and idx <= 4")).first().frontier] == [("a", 2)]
+
+
+def test_pairing_verdicts(spark):
+    from tidefold.operators import stamps as S
+
+    sessions = spark.createDataFrame([("paired", 0), ("late", 0), ("empty", 0), ("open", 95)], "session string, armed long")
+    rosters = spark.createDataFrame([("paired", 3, 1), ("paired", 5, 2), ("paired", 7, 1), ("late", 4, 1), ("late", 10, 2)], "session string, at long, members long")
+    got = {r.session: (r.event, r.at, r.observed) for r in S.pairing(sessions, rosters, 2, 10, 100).collect()}
+    assert got == {"paired": ("Paired", 5, None), "late": ("NeverPaired", 10, 1), "empty": ("NeverPaired", 10, 0)}
+    with pytest.raises(ValueError):
+        S.pairing(sessions, rosters, 1, 10, 100)
+
+
+def test_view_sizes():
+    assert [P.view_size(n) for n in (0, 1, 7, 8, 100, 10**6)] == [4, 4, 4, 5, 7, 16]

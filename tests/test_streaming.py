@@ -59,3 +59,19 @@ def test_presence_departs_after_silence(spark, tmp_path):
     got = set(map(tuple, drained(S.presence(stream.withWatermark("ts", "1 minute"), 60_000), tmp_path, "silence", "update").collect()))
     assert ("quiet", 1, True) in got and ("quiet", 1, False) in got
     assert ("talks", 3, True) in got and ("talks", 3, False) not in got
+
+
+def test_pairing_stream(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    at = lambda s: t + datetime.timedelta(seconds=s)
+    rows = [("pair", 1, at(0)), ("alone", 1, at(0)), ("pair", 2, at(5)), ("pair", 1, at(8)), ("tick", 1, at(3600)), ("tick", 3, at(3601)), ("pair", 3, at(3602)), ("tick", 1, at(3603))]
+    got = drained(S.pairing(source(spark, tmp_path, rows, "session string, members long, ts timestamp").withWatermark("ts", "1 second"), 2, 10_000), tmp_path, "pairing", "append")
+    assert sorted(map(tuple, got.collect())) == [("alone", "NeverPaired", 1), ("pair", "Paired", None), ("tick", "Paired", None)]
+
+
+def test_changes_stream(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    values = [("k", "1"), ("k", "1"), ("j", None), ("k", "2"), ("k", "2"), ("j", None), ("k", "1"), ("j", "x")]
+    rows = [(k, v, t + datetime.timedelta(seconds=i)) for i, (k, v) in enumerate(values)]
+    got = drained(S.changes(source(spark, tmp_path, rows, "k string, v string, ts timestamp"), "k", "v"), tmp_path, "changes", "append").collect()
+    assert [tuple(r) for r in got if r["k"] == "k"] == [("k", "1"), ("k", "2"), ("k", "1")] and [tuple(r) for r in got if r["k"] == "j"] == [("j", None), ("j", "x")]

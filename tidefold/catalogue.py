@@ -6,10 +6,13 @@ sequence number counts the replica's events, two overlapping snapshots cut the e
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefold.functions import hashing as H
+from tidefold.functions import rational as R
 from tidefold.operators import causal as C
 from tidefold.operators import entitlement as E
 from tidefold.operators import lattice as L
@@ -18,10 +21,12 @@ from tidefold.operators import placement as P
 from tidefold.operators import sequence as Q
 from tidefold.operators import sketches as K
 from tidefold.operators import speculation as X
+from tidefold.operators import stamps as S
 from tidefold.operators import telemetry as T
 from tidefold.plans import draft as D
 from tidefold.sources import archive as A
 from tidefold.sources.ship import ensure_on_workers
+from tidefold.sources.staging import shared_dir
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -852,12 +857,16 @@ x AS (SELECT parent, edge, fresh, CASE WHEN coalesce(n * w > i * d, FALSE) THEN
   CASE WHEN wakes AND coalesce(n * w > i * d, FALSE) THEN n * w - i * d ELSE 0 END AS o, CASE WHEN wakes AND coalesce(n * w > i * d, FALSE) THEN d * w ELSE 1 END AS od FROM c LEFT JOIN g USING (parent))
 SELECT parent, edge, CASE WHEN fresh THEN (sn // gcd(sn, sd))::BIGINT END AS seat_num, CASE WHEN fresh THEN (sd // gcd(sn, sd))::BIGINT END AS seat_den, (o // gcd(o, od))::BIGINT AS offset_num, (od // gcd(o, od))::BIGINT AS offset_den FROM x""")
 def _(t):
+    return G.settle_joiners(joining(t))
+
+
+def joining(t: Tables) -> DataFrame:
+    """Customers as children of their nation: some newborn, some waking, some idle."""
     k = F.col("c_custkey")
     long = lambda c: F.lit(c).cast("long") if isinstance(c, int) else c.cast("long")
-    children = t.customer.select(
+    return t.customer.select(
         F.col("c_nationkey").alias("parent"), k.alias("edge"), long(k % 5 + 1).alias("weight_num"), long(1).alias("weight_den"), long(k % 17).alias("issued"), long(k % 4).alias("outstanding"), long(2).alias("target"),
         (k % 7 != 0).alias("seated"), (k % 3 != 0).alias("was_demanding"), long(0).alias("offset_num"), long(1).alias("offset_den"))
-    return G.settle_joiners(children)
 
 
 @query("w9_schedule")
@@ -1390,3 +1399,162 @@ def _(t):
 def _(t):
     r = F.expr("if(event_id % 10 = 0, null, 100 div (event_id % 10))")
     return t.events.select("event_id", r.alias("result"), (F.col("event_id") % 10 == 0).alias("failed"))
+
+
+# ---- stamps, turns, requests, rationals -------------------------------------------------------------------------
+
+
+def causal_log(t: Tables) -> DataFrame:
+    """Four replicas: most events are ticks, every fifth observes a dot of the next replica, every 35th forgets the frontier."""
+    d = dotted(t)
+    kind = F.when(F.col("event_id") % 35 == 4, "clear").when(F.col("event_id") % 5 == 3, "observe").otherwise("tick")
+    sender = F.when(kind == "observe", F.concat(F.lit("r"), ((F.col("user_id") + 1) % 4).cast("string")))
+    return d.select("replica", F.col("seq").alias("idx"), kind.alias("kind"), sender.alias("from_replica"), F.when(kind == "observe", F.col("event_id") % 50).cast("long").alias("from_seq"))
+
+
+_STAMPS = f"""{DOTTED}, l AS (SELECT replica, seq AS idx, CASE WHEN event_id % 35 = 4 THEN 'clear' WHEN event_id % 5 = 3 THEN 'observe' ELSE 'tick' END AS kind, 'r' || ((user_id + 1) % 4) AS from_replica, event_id % 50 AS from_seq FROM dotted),
+k AS (SELECT *, count(*) FILTER (kind = 'tick') OVER (PARTITION BY replica ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turn, coalesce(max(idx) FILTER (kind IN ('tick', 'clear')) OVER (PARTITION BY replica ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM l)"""
+
+
+@query("f10_causal_stamps", f"""WITH {_STAMPS}, tk AS (SELECT replica, idx, turn, since FROM k WHERE kind = 'tick'),
+dots AS (SELECT tk.replica, tk.idx, o.from_replica || ':' || o.from_seq AS dot FROM tk JOIN l o ON o.replica = tk.replica AND o.kind = 'observe' AND o.idx > tk.since AND o.idx < tk.idx
+  UNION SELECT tk.replica, tk.idx, tk.replica || ':' || tk.turn FROM tk JOIN l p ON p.replica = tk.replica AND p.idx = tk.since AND p.kind = 'tick')
+SELECT tk.replica, tk.idx, tk.turn + 1 AS seq, coalesce(string_agg(dot, ',' ORDER BY dot), '') AS predecessors FROM tk LEFT JOIN dots USING (replica, idx) GROUP BY ALL""")
+def _(t):
+    dots = F.array_sort(F.transform("predecessors", lambda d: F.concat_ws(":", d["replica"], d["seq"].cast("string"))))
+    return S.causal_stamps(causal_log(t)).select("replica", "idx", "seq", F.array_join(dots, ",").alias("predecessors"))
+
+
+@query("f10_frontier", f"""WITH {_STAMPS}, e AS (SELECT replica, max(idx) + 1 AS idx, count(*) FILTER (kind = 'tick') AS turn, max(idx) FILTER (kind IN ('tick', 'clear')) AS since FROM l GROUP BY 1),
+dots AS (SELECT e.replica, o.from_replica || ':' || o.from_seq AS dot FROM e JOIN l o ON o.replica = e.replica AND o.kind = 'observe' AND o.idx > e.since UNION SELECT e.replica, e.replica || ':' || e.turn FROM e JOIN l p ON p.replica = e.replica AND p.idx = e.since AND p.kind = 'tick')
+SELECT e.replica, coalesce(string_agg(dot, ',' ORDER BY dot), '') AS frontier FROM e LEFT JOIN dots USING (replica) GROUP BY ALL""")
+def _(t):
+    dots = F.array_sort(F.transform("frontier", lambda d: F.concat_ws(":", d["replica"], d["seq"].cast("string"))))
+    return S.causal_frontier(causal_log(t)).select("replica", F.array_join(dots, ",").alias("frontier"))
+
+
+@query("l12_stamped", f"WITH {_STAMPS} SELECT replica, idx, CASE WHEN idx % 10 = 0 THEN 7 WHEN kind = 'tick' THEN turn + 1 END::BIGINT AS seq, idx % 10 = 0 AS kept FROM k")
+def _(t):
+    log = causal_log(t)
+    given = F.col("idx") % 10 == 0
+    kind = "array<struct<replica:string,seq:bigint>>"
+    spans = log.select("replica", "idx", F.when(given, F.lit(7)).cast("long").alias("seq"), F.when(given, F.array()).cast(kind).alias("predecessors"), given.alias("kept"))
+    return S.stamped(spans, S.causal_stamps(log)).select("replica", "idx", "seq", "kept")
+
+
+@query("w13_turns", """WITH e AS (SELECT event_id AS idx, CASE WHEN event_id % 400 = 399 THEN 'install' WHEN event_type = 'view' THEN 'internal' ELSE 'entry' END AS kind, CASE WHEN user_id % 9 <> 0 THEN user_id END AS client, (event_id * 7) % 101 AS request, event_type AS action FROM events),
+r AS (SELECT *, count(*) FILTER (kind = 'install') OVER (ORDER BY idx) AS era FROM e WHERE kind <> 'internal')
+SELECT idx, CASE kind WHEN 'install' THEN 'Reset' ELSE 'Committed' END AS event, action, kind = 'install' OR client IS NULL OR request > coalesce(max(request) FILTER (kind = 'entry') OVER (PARTITION BY client, era ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS applied FROM r""")
+def _(t):
+    kind = F.when(F.col("event_id") % 400 == 399, "install").when(F.col("event_type") == "view", "internal").otherwise("entry")
+    return S.turn_events(t.events.select(F.col("event_id").alias("idx"), kind.alias("kind"), F.when(F.col("user_id") % 9 != 0, F.col("user_id")).alias("client"), ((F.col("event_id") * 7) % 101).alias("request_id"), F.col("event_type").alias("action")))
+
+
+@query("r7_pairing", """WITH s AS (SELECT user_id AS session, min(event_id) AS armed FROM events GROUP BY 1), m AS (SELECT user_id AS session, event_id AS "at", event_id % 3 AS members FROM events),
+v AS (SELECT session, armed + 200 AS ends, min("at") FILTER (members >= 2) AS paired, arg_max(members, "at") AS observed FROM s JOIN m USING (session) WHERE "at" < armed + 200 AND "at" <= 900 GROUP BY ALL)
+SELECT session, CASE WHEN paired IS NOT NULL THEN 'Paired' ELSE 'NeverPaired' END AS event, coalesce(paired, ends) AS "at", CASE WHEN paired IS NULL THEN observed END AS observed FROM v WHERE paired IS NOT NULL OR ends <= 900""")
+def _(t):
+    e = t.events.select(F.col("user_id").alias("session"), F.col("event_id").alias("at"), (F.col("event_id") % 3).alias("members"))
+    sessions = e.groupBy("session").agg(F.min("at").alias("armed"))
+    return S.pairing(sessions, e, 2, 200, 900)
+
+
+@query("s12_otlp_traces", f"""WITH {DOTTED}, x AS (SELECT event_id, epoch_us(ts) * 1000 AS ns, lpad(event_id::VARCHAR, 16, '0') AS id, md5((event_id // 4)::VARCHAR) AS trace, event_type, user_id, replica, seq, CASE WHEN event_id % 4 <> 0 THEN lpad((event_id - 1)::VARCHAR, 16, '0') END AS up FROM dotted),
+k AS (SELECT a.id, string_agg('{{"traceId":"' || b.trace || '","spanId":"' || b.id || '"}}', ',' ORDER BY b.trace, b.id) AS links FROM x a JOIN x b ON a.replica = b.replica AND b.seq IN (a.seq - 1, a.seq - 3) WHERE a.up IS DISTINCT FROM b.id GROUP BY 1),
+j AS (SELECT event_id // 256 AS batch, ns, x.id, '{{"traceId":"' || trace || '","spanId":"' || x.id || '",' || coalesce('"parentSpanId":"' || up || '",', '') || '"name":"' || event_type || '","kind":' || CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END || ',"startTimeUnixNano":"' || ns || '","endTimeUnixNano":"' || (ns + 1000) || '","attributes":[{{"key":"replica","value":{{"stringValue":"' || replica || '"}}}}]' || coalesce(',"links":[' || links || ']', '') || '}}' AS body FROM x LEFT JOIN k ON k.id = x.id)
+SELECT batch, count(*) AS n, '{{"resourceSpans":[{{"scopeSpans":[{{"spans":[' || string_agg(body, ',' ORDER BY ns, id) || ']}}]}}]}}' AS body FROM j GROUP BY 1""")
+def _(t):
+    name = lambda c: F.lpad(c.cast("string"), 16, "0")
+    trace = lambda c: F.md5(F.floor(c / 4).cast("string"))
+    made = spans(t)
+    e = t.events.select("event_id", "event_type", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    s = made.join(e, made["span_id"] == e["event_id"]).select(
+        F.expr("event_id div 256").alias("batch"), trace(F.col("event_id")).alias("trace_id"), name(F.col("event_id")).alias("span_id"), name(F.col("parent_span_id")).alias("parent_span_id"), F.col("event_type").alias("name"),
+        F.when(F.col("user_id") % 2 == 0, "SERVER").otherwise("INTERNAL").alias("kind"), (F.col("us") * 1000).alias("start_ns"), (F.col("us") * 1000 + 1000).alias("end_ns"), F.create_map(F.lit("replica"), F.col("replica")).alias("attributes"))
+    links = T.causal_links(made).select(name(F.col("from_span")).alias("from_span"), trace(F.col("to_span")).alias("to_trace"), name(F.col("to_span")).alias("to_span"))
+    return T.otlp_traces(s, links, "batch")
+
+
+@query("s12_otlp_metrics", f"""WITH e AS (SELECT event_type, user_id % 3 AS batch, max(epoch_us(ts)) * 1000 AS ns, count(*) AS n, floor(max(value)) + 0.5 AS top, count(DISTINCT user_id) AS users FROM events GROUP BY ALL),
+c AS (SELECT event_type, user_id % 3 AS batch, ceil(ln(value) / ln({_GAMMA}))::INTEGER AS idx, count(*) AS n FROM events WHERE value >= 1e-9 GROUP BY ALL),
+h AS (SELECT event_type, batch, min(idx) AS lo, max(idx) AS hi, sum(n) AS total FROM c GROUP BY ALL),
+hx AS (SELECT g.event_type, g.batch, any_value(g.lo) - 1 AS off, any_value(g.total) AS total, string_agg('"' || coalesce(c.n, 0) || '"', ',' ORDER BY g.i) AS cells FROM (SELECT *, unnest(range(lo, hi + 1)) AS i FROM h) g LEFT JOIN c ON c.event_type = g.event_type AND c.batch = g.batch AND c.idx = g.i GROUP BY 1, 2),
+a AS (SELECT *, '"attributes":[{{"key":"of","value":{{"stringValue":"' || event_type || '"}}}}],' AS ax FROM e),
+m AS (SELECT batch, event_type || '.count' AS name, 'sum' AS kind, '{{"name":"' || event_type || '.count","sum":{{"dataPoints":[{{' || ax || '"startTimeUnixNano":"0","timeUnixNano":"' || ns || '","asInt":"' || n || '"}}],"aggregationTemporality":2,"isMonotonic":true}}}}' AS body FROM a
+UNION ALL SELECT batch, event_type || '.top', 'gauge', '{{"name":"' || event_type || '.top","gauge":{{"dataPoints":[{{' || ax || '"timeUnixNano":"' || ns || '","asDouble":' || top::DOUBLE || '}}]}}}}' FROM a
+UNION ALL SELECT batch, event_type || '.users', 'cardinality', '{{"name":"' || event_type || '.users","gauge":{{"dataPoints":[{{' || ax || '"timeUnixNano":"' || ns || '","asInt":"' || users || '"}}]}}}}' FROM a
+UNION ALL SELECT batch, event_type || '.value', 'histogram', '{{"name":"' || event_type || '.value","exponentialHistogram":{{"dataPoints":[{{' || ax || '"startTimeUnixNano":"0","timeUnixNano":"' || ns || '","count":"' || total || '","scale":5,"zeroCount":"0","positive":{{"offset":' || off || ',"bucketCounts":[' || cells || ']}}}}],"aggregationTemporality":2}}}}' FROM a JOIN hx USING (event_type, batch))
+SELECT batch, count(*) AS n, '{{"resourceMetrics":[{{"scopeMetrics":[{{"metrics":[' || string_agg(body, ',' ORDER BY name, kind) || ']}}]}}]}}' AS body FROM m GROUP BY 1""")
+def _(t):
+    key = ["event_type", "batch"]
+    e = t.events.withColumn("batch", F.col("user_id") % 3)
+    ends = e.groupBy(*key).agg((F.max(F.unix_micros(F.col("ts").cast("timestamp"))) * 1000).alias("time_ns"), F.count(F.lit(1)).alias("n"), (F.floor(F.max("value")) + 0.5).alias("top"), F.countDistinct("user_id").alias("users"))
+    cells = K.dd_cells(e.filter("value >= 1e-9"), key, "value")
+    h = K.exponential_histogram(cells, key).join(cells.groupBy(*key).agg(F.sum("count").alias("count")), key).join(ends.select(*key, "time_ns"), key)
+    null = lambda k: F.lit(None).cast(k)
+    point = lambda rows, kind, tail, value, cell: rows.select("batch", F.lit(kind).alias("kind"), F.concat("event_type", F.lit(tail)).alias("name"), F.create_map(F.lit("of"), F.col("event_type")).alias("attributes"), F.lit(0).cast("long").alias("start_ns"), "time_ns", value.cast("double").alias("value"), *cell)
+    no = [null("long").alias("count"), null("int").alias("scale"), null("long").alias("zero_count"), null("int").alias("offset"), null("array<bigint>").alias("counts")]
+    full = ["count", F.lit(5).alias("scale"), F.lit(0).cast("long").alias("zero_count"), F.col("offset").cast("int").alias("offset"), "counts"]
+    points = L.piece(
+        point(ends, "sum", ".count", F.col("n"), no), point(ends, "gauge", ".top", F.col("top"), no), point(ends, "cardinality", ".users", F.col("users"), no),
+        point(h, "histogram", ".value", F.lit(None), full))
+    return T.otlp_metrics(points, "batch")
+
+
+@query("s2_append", "SELECT event_id AS \"offset\", event_type AS op FROM events")
+def _(t):
+    f = frames(t).select("offset", "end_offset", "arrived_at", "op")
+    path = f"{shared_dir(t.spark)}/tidefold/archive-{uuid.uuid4().hex}"
+    # two appends to one archive, then a replay of the whole
+    A.append(f.filter("offset % 2 = 0"), path)
+    A.append(f.filter("offset % 2 = 1"), path)
+    return A.replay(t.spark.read.parquet(path)).select("offset", "op")
+
+
+@query("t5_partial_view", "WITH p AS (SELECT s_name AS peer, row_number() OVER (ORDER BY md5(s_name || '|Supplier#000000001'), s_name) AS n FROM supplier WHERE s_name <> 'Supplier#000000001'), k AS (SELECT greatest(4, ceil(ln(count(*))) + 2) AS k FROM supplier) SELECT peer, CASE WHEN n <= k THEN 'active' ELSE 'spare' END AS role FROM p, k WHERE n <= k + 3")
+def _(t):
+    return P.partial_view(t.supplier.select(F.col("s_name").alias("peer")), "Supplier#000000001", 3)
+
+
+@query("f6_scales", "SELECT s::INTEGER AS scale, round((pow(2, pow(2, -s)) - 1) / (pow(2, pow(2, -s)) + 1), 12) AS alpha, s::INTEGER AS back FROM range(-3, 13) r(s)")
+def _(t):
+    return t.rows([(s, round(K.alpha_for_scale(s), 12), K.scale_for_alpha(K.alpha_for_scale(s))) for s in range(-3, 13)], "scale int, alpha double, back int")
+
+
+@query("f7_bloom_sizes", "WITH c AS (SELECT n, p, ceil(-n * ln(p) / (ln(2) * ln(2)))::BIGINT AS bits FROM (VALUES (1), (10), (1000), (1000000)) v(n), (VALUES (0.5), (0.01), (0.0001)) w(p)) SELECT n::BIGINT AS n, p::DOUBLE AS fpr, greatest(1, bits) AS bits, greatest(1, round(bits::DOUBLE / n * ln(2)))::BIGINT AS hashes FROM c")
+def _(t):
+    return t.rows([(n, p, *K.bloom_size(n, p)) for n in (1, 10, 1000, 1000000) for p in (0.5, 0.01, 0.0001)], "n long, fpr double, bits long, hashes long")
+
+
+@query("f8_rationals", """WITH x AS (SELECT l_orderkey AS o, l_linenumber AS l, (l_quantity::BIGINT - 25)::HUGEINT AS a, (l_linenumber + 1)::HUGEINT AS b, (l_suppkey % 12 + 1)::HUGEINT AS c, (l_partkey % 9 + 1)::HUGEINT AS d FROM lineitem),
+y AS (SELECT o, l, a * d + c * b AS sn, b * d AS sd, a * c AS pn, b * d AS pd, a * d AS qn, b * c AS qd, sign(a * d - c * b)::INTEGER AS compared, ceil(a::DOUBLE / b)::BIGINT AS up FROM x)
+SELECT o AS orderkey, l AS line, (sn // gcd(sn, sd))::BIGINT AS sum_num, (sd // gcd(sn, sd))::BIGINT AS sum_den, (pn // gcd(pn, pd))::BIGINT AS product_num, (pd // gcd(pn, pd))::BIGINT AS product_den, (qn // gcd(qn, qd))::BIGINT AS quotient_num, (qd // gcd(qn, qd))::BIGINT AS quotient_den, compared, up FROM y""")
+def _(t):
+    long = lambda c: c.cast("long")
+    li = t.lineitem.select("l_orderkey", "l_linenumber", R.rational(long(F.col("l_quantity")) - 25, long(F.col("l_linenumber") + 1)).alias("x"), R.rational(long(F.col("l_suppkey") % 12 + 1), long(F.col("l_partkey") % 9 + 1)).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    got = li.select("l_orderkey", "l_linenumber", R.plus(x, y).alias("s"), R.times(x, y).alias("p"), R.over(x, y).alias("q"), R.compared(x, y).alias("compared"), R.ceiling(x).alias("up"))
+    return got.select(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"), *(F.col(f"{c}.{p}").alias(f"{n}_{p}") for c, n in (("s", "sum"), ("p", "product"), ("q", "quotient")) for p in ("num", "den")), "compared", "up")
+
+
+@query("f14_metric_version", "SELECT event_id, md5('gauge|' || event_id::VARCHAR) AS version FROM events")
+def _(t):
+    return t.events.select("event_id", F.col("event_id").alias("value")).select("event_id", T.metric_version("gauge").alias("version"))
+
+
+@query("w10_fronts", """WITH c AS (SELECT c_nationkey AS parent, c_custkey % 5 + 1 AS w, c_custkey % 17 AS i, c_custkey % 4 < 2 AS dem, c_custkey % 7 = 0 AS fresh, c_custkey % 4 < 2 AND c_custkey % 3 = 0 AS wakes FROM customer),
+f AS (SELECT parent, count(*) FILTER (dem) AS k, sum(i) FILTER (dem) AS sn, sum(w) FILTER (dem) AS sd, arg_max({'i': i, 'w': w}, i / w) AS top FROM c WHERE NOT fresh AND NOT wakes GROUP BY 1),
+g AS (SELECT parent, (CASE WHEN k > 0 THEN sn ELSE top.i END)::BIGINT AS n, (CASE WHEN k > 0 THEN sd ELSE top.w END)::BIGINT AS d FROM f)
+SELECT parent, n // gcd(n, d) AS num, d // gcd(n, d) AS den FROM g""")
+def _(t):
+    return G.fronts(joining(t))
+
+
+@query("l16_run_metrics", "SELECT 'sum' AS kind, 'ops.executed' AS name, 'r' || (user_id % 4) AS replica, count(*)::DOUBLE AS value, NULL::VARCHAR AS item FROM events GROUP BY ALL UNION ALL SELECT 'sum', 'ops.failed', 'r' || (user_id % 4), count(*) FILTER (event_type = 'error')::DOUBLE, NULL FROM events GROUP BY ALL UNION ALL SELECT DISTINCT 'distinct', 'ops.distinct', 'r' || (user_id % 4), NULL::DOUBLE, event_type FROM events")
+def _(t):
+    return T.run_metrics(t.events.select(F.concat(F.lit("r"), (F.col("user_id") % 4).cast("string")).alias("replica"), F.col("event_type").alias("op"), (F.col("event_type") == "error").alias("failed")))
+
+
+@query("l19_attachments", f"WITH {LWW} SELECT user_id AS client, value AS server FROM (SELECT user_id, arg_max_null(value, (ts, origin)) AS value FROM w GROUP BY 1) WHERE value IS NOT NULL")
+def _(t):
+    return L.lww_map(lww_writes(t), ["user_id"]).select(F.col("user_id").alias("client"), F.col("value").alias("server"))

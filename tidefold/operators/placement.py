@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,3 +86,17 @@ def last_visible(rows: DataFrame, by: list[str], order: str, n: int, visible: st
 def sample_peers(peers: DataFrame, k: int, seed: int) -> DataFrame:
     """A reproducible k-subset."""
     return peers.orderBy(F.md5(F.concat("peer", F.lit(f"|{seed}"))), "peer").limit(k)
+
+
+def view_size(n: int) -> int:
+    """How many peers of n to talk to: enough that the graph of random choices stays connected."""
+    return max(4, math.ceil(math.log(n)) + 2) if n > 0 else 4
+
+
+def partial_view(peers: DataFrame, own: str, spares: int, k: int | None = None) -> DataFrame:
+    """peer, role: a peer's 'active' neighbours and then its 'spare' ones, an order of its own over all others."""
+    others = peers.filter(F.col("peer") != own)
+    active = view_size(peers.count()) if k is None else k
+    drawn = others.select("peer", F.md5(F.concat("peer", F.lit(f"|{own}"))).alias("draw")).orderBy("draw", "peer").limit(active + spares)
+    ranked = drawn.withColumn("n", F.row_number().over(Window.orderBy("draw", "peer")))  # a few rows
+    return ranked.select("peer", F.when(F.col("n") <= active, "active").otherwise("spare").alias("role"))

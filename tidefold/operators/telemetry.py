@@ -107,6 +107,73 @@ def otlp_logs(records: DataFrame, batch: str) -> DataFrame:
     return records.groupBy(batch).agg(body.alias("body"), F.count(F.lit(1)).alias("n"))
 
 
+def _pairs(attributes: Column) -> Column:
+    """A map as OTLP's list of keys and values, by key."""
+    return F.transform(F.array_sort(F.map_entries(attributes)), lambda x: F.struct(x["key"].alias("key"), F.struct(x["value"].alias("stringValue")).alias("value")))
+
+
+def _request(rows: DataFrame, batch: str, order: list[str], item: Column, names: tuple[str, str, str]) -> DataFrame:
+    """batch, n, body: the items of each batch in one OTLP/JSON request body; fields without a value are left out."""
+    resource, scope, leaf = names
+    ordered = F.array_sort(F.collect_list(F.struct(*order, F.to_json(item).alias("json"))))
+    items = F.array_join(F.transform(ordered, lambda x: x["json"]), ",")
+    body = F.concat(F.lit(f'{{"{resource}":[{{"{scope}":[{{"{leaf}":['), items, F.lit("]}]}]}"))
+    return rows.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), body.alias("body"))
+
+
+#: The protocol's numbers of span kinds and of cumulative temporality: fixed values.
+SPAN_KINDS = {"INTERNAL": 1, "SERVER": 2, "CLIENT": 3, "PRODUCER": 4, "CONSUMER": 5}
+CUMULATIVE = 2
+
+
+def otlp_traces(spans: DataFrame, links: DataFrame, batch: str) -> DataFrame:
+    """One traces request for each batch.
+
+    spans: trace_id, span_id, parent_span_id (hex or null), name, kind, start_ns, end_ns, attributes (map of strings).
+    links: from_span, to_trace, to_span; each span carries its own, sorted.
+    """
+    own = links.groupBy(F.col("from_span").alias("span_id")).agg(F.array_sort(F.collect_set(F.struct(F.col("to_trace").alias("traceId"), F.col("to_span").alias("spanId")))).alias("links"))
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in SPAN_KINDS.items() for x in pair)), F.col("kind"))
+    item = F.struct(
+        F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), "name", kind.alias("kind"),
+        F.col("start_ns").cast("string").alias("startTimeUnixNano"), F.col("end_ns").cast("string").alias("endTimeUnixNano"), _pairs(F.col("attributes")).alias("attributes"), "links",
+    )
+    return _request(spans.join(own, "span_id", "left"), batch, ["start_ns", "span_id"], item, ("resourceSpans", "scopeSpans", "spans"))
+
+
+def otlp_metrics(points: DataFrame, batch: str) -> DataFrame:
+    """One metrics request for each batch: sums are cumulative and monotonic, gauges and cardinalities are gauges, log buckets are exponential histograms.
+
+    points: kind ('sum', 'double_sum', 'gauge', 'cardinality', 'histogram'), name, attributes (map of strings), start_ns,
+    time_ns, value (double; whole for sums and cardinalities), and for histograms count, scale, zero_count, offset, counts.
+    """
+    is_ = lambda *kinds: F.col("kind").isin(*kinds)
+    at = [_pairs(F.col("attributes")).alias("attributes"), F.when(~is_("gauge", "cardinality"), F.col("start_ns").cast("string")).alias("startTimeUnixNano"), F.col("time_ns").cast("string").alias("timeUnixNano")]
+    point = F.struct(*at, F.when(is_("sum", "cardinality"), F.col("value").cast("long").cast("string")).alias("asInt"), F.when(is_("double_sum", "gauge"), F.col("value")).alias("asDouble"))
+    cells = F.struct(
+        *at, F.col("count").cast("string").alias("count"), "scale", F.col("zero_count").cast("string").alias("zeroCount"),
+        F.when(F.size("counts") > 0, F.struct("offset", F.transform("counts", lambda c: c.cast("string")).alias("bucketCounts"))).alias("positive"),
+    )
+    item = F.struct(
+        "name", F.when(is_("sum", "double_sum"), F.struct(F.array(point).alias("dataPoints"), F.lit(CUMULATIVE).alias("aggregationTemporality"), F.lit(True).alias("isMonotonic"))).alias("sum"),
+        F.when(is_("gauge", "cardinality"), F.struct(F.array(point).alias("dataPoints"))).alias("gauge"),
+        F.when(is_("histogram"), F.struct(F.array(cells).alias("dataPoints"), F.lit(CUMULATIVE).alias("aggregationTemporality"))).alias("exponentialHistogram"),
+    )
+    return _request(points, batch, ["name", "kind"], item, ("resourceMetrics", "scopeMetrics", "metrics"))
+
+
+def run_metrics(runs: DataFrame) -> DataFrame:
+    """kind, name, replica, value, item: the points that a job's own runs publish: executions and failures as sums of each replica, operations as items of a cardinality.
+
+    runs: replica, op, failed.
+    """
+    each = runs.groupBy("replica").agg(F.count(F.lit(1)).alias("executed"), F.count(F.when(F.col("failed"), 1)).alias("failures"))
+    none = F.lit(None)
+    total = lambda c, name: each.select(F.lit("sum").alias("kind"), F.lit(name).alias("name"), "replica", F.col(c).cast("double").alias("value"), none.cast("string").alias("item"))
+    ops = runs.select(F.lit("distinct").alias("kind"), F.lit("ops.distinct").alias("name"), "replica", none.cast("double").alias("value"), F.col("op").cast("string").alias("item")).distinct()
+    return total("executed", "ops.executed").unionByName(total("failures", "ops.failed")).unionByName(ops)
+
+
 def health(results: DataFrame, by: list[str]) -> DataFrame:
     """Counts of each outcome."""
     kinds = ("accepted", "failed", "dropped", "refused", "deduplicated")

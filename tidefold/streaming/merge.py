@@ -87,3 +87,59 @@ def in_order(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["sender", "seq", "payload"])
 
     return stream.groupBy("sender").applyInPandasWithState(step, "sender string, seq long, payload string", "expected long, seqs array<long>, payloads array<string>", "append", "NoTimeout")
+
+
+def changes(stream: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value: each key's value when it first comes and whenever it differs from the one before.
+
+    stream: key STRING, value STRING, and ts, in whose order the rows of one batch are taken.
+    """
+
+    def step(which, batches: Iterator[pd.DataFrame], state):
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        seen, last = state.get if state.exists else (False, None)
+        out = []
+        for v in rows[value]:
+            v = None if pd.isna(v) else v
+            if not seen or v != last:
+                seen, last = True, v
+                out.append((which[0], v))
+        state.update((seen, last))
+        yield pd.DataFrame(out, columns=[key, value])
+
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} string, {value} string", "seen boolean, last string", "append", "NoTimeout")
+
+
+def pairing(stream: DataFrame, minimum: int, deadline_ms: int) -> DataFrame:
+    """session, event, observed: one verdict a session, Paired when a roster reaches the minimum before the deadline, else NeverPaired once it has passed.
+
+    stream: session STRING, members LONG, ts TIMESTAMP with a watermark. A session is armed by its first row.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            ends, observed, _ = state.get
+            state.update((ends, observed, True))
+            yield pd.DataFrame({"session": [key[0]], "event": ["NeverPaired"], "observed": [observed]})
+            return
+        ends, observed, decided = state.get if state.exists else (0, 0, False)
+        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        verdict = None
+        for r in rows.itertuples(index=False):
+            at = int(r.ts.timestamp() * 1000)
+            ends = ends or at + deadline_ms
+            if decided:
+                break
+            if at >= ends:
+                verdict, decided = ("NeverPaired", observed), True
+            elif r.members >= minimum:
+                verdict, decided = ("Paired", None), True
+            else:
+                observed = int(r.members)
+        state.update((ends, observed, decided))
+        if not decided:
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        found = [] if verdict is None else [(key[0], *verdict)]
+        yield pd.DataFrame(found, columns=["session", "event", "observed"]).astype({"observed": "Int64"})
+
+    return stream.groupBy("session").applyInPandasWithState(step, "session string, event string, observed long", "ends long, observed long, decided boolean", "append", "EventTimeTimeout")
