@@ -109,10 +109,11 @@ def edge_totals(counters: DataFrame) -> DataFrame:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """The greatest common divisor of two longs by Euclid's steps, of which 64-bit numbers take at most 92."""
+    """The greatest common divisor of two longs by Euclid's steps, of which there are at most five a digit of the smaller number, and one to swap."""
     start = F.struct(F.abs(a).alias("a"), F.abs(b).alias("b"))
     step = lambda x, _: F.when(x["b"] == 0, x).otherwise(F.struct(x["b"].alias("a"), (x["a"] % F.when(x["b"] == 0, F.lit(1).cast("long")).otherwise(x["b"])).alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda x: x["a"])
+    most = F.length(F.least(F.abs(a), F.abs(b)).cast("string")) * 5 + 1
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda x: x["a"])
 
 
 def virtual_service(edges: DataFrame, counters: DataFrame) -> DataFrame:
