@@ -192,11 +192,11 @@ class Codec:
             for (piece, _), ids in zip(rest, self.contract([raw for _, raw in rest])):
                 self.memo[piece] = ids
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
+    def encode_all(self, texts: list[str], memo: int = MEMO) -> list[np.ndarray]:
+        """The ids of each text; beyond memo remembered encodings, those of other texts are forgotten first."""
         cut = [self.find(t) for t in texts]
         wanted = set().union(*cut)
-        if len(self.memo) > MEMO:
+        if len(self.memo) > memo:
             self.memo = {p: self.memo[p] for p in wanted if p in self.memo}
         self.learn(wanted.difference(self.memo))
         of = self.memo.__getitem__
@@ -260,8 +260,11 @@ def _slices(texts: list[str]):
         yield start, len(texts)
 
 
-def tokens(docs: DataFrame, ranks: bytes, pattern: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and with with_ids also ids: each text encoded, and its ids decoded."""
+def tokens(docs: DataFrame, ranks: bytes, pattern: str, with_ids: bool = False, memo: int = MEMO) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and with with_ids also ids: each text encoded, and its ids decoded.
+
+    memo bounds the encodings that a worker remembers; it trades memory for work and changes no result.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(ranks)
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * with_ids
@@ -272,7 +275,7 @@ def tokens(docs: DataFrame, ranks: bytes, pattern: str, with_ids: bool = False)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in _slices(texts):
-                ids = bpe.encode_all(texts[a:b])
+                ids = bpe.encode_all(texts[a:b], memo)
                 rows = [
                     {"n_tokens": len(x), "ids_sha256": hashlib.sha256(x.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(raw).hexdigest()}
                     | ({"ids": x.astype(np.int32)} if with_ids else {})
