@@ -101,6 +101,14 @@ def test_ring_owner_against_a_sorted_ring(spark):
         assert peer == next((b for a, b in ring if a >= p), ring[0][1])
 
 
+def test_ring_owners_broadcast_no_points(spark):
+    # the planner sees few peers and not their points, so a join could send every point through the driver
+    peers = spark.range(40).selectExpr("'p' || id AS peer")
+    tasks = spark.range(9).selectExpr("'t' || id AS task")
+    plan = P.owners(tasks, P.ring_points(peers))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+
+
 def test_affinity_negation_of_missing_attribute(spark):
     caps = spark.createDataFrame([("a", ["gpu"], {"z": "1"})], "peer string, tokens array<string>, attrs map<string,string>")
     peers = spark.createDataFrame([("a",), ("b",)], "peer string")

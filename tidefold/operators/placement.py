@@ -56,20 +56,23 @@ def ring_points(peers: DataFrame, vnodes: int = 150) -> DataFrame:
 def owners(tasks: DataFrame, points: DataFrame, task: str = "task") -> DataFrame:
     """task, peer: the first point at or after the task's position, wrapping around.
 
-    An as-of join by key ranges: positions are cut into equal arcs, each task meets the points of its own arc, and
-    tasks beyond the last point of their arc take the first point of the next arc that has one.
+    An as-of join by key ranges: positions are cut into equal arcs, the tasks and points of one arc are put in one order
+    and each task takes the last point seen from above; tasks beyond the last point of their arc take the first point of
+    the next arc that has one. So the work grows with tasks plus points, and neither side is broadcast: the size of the
+    points is not known to the planner, which sees their peers only.
     """
     arcs = 4096
     arc = lambda c: F.floor(F.col(c) / ((1 << 31) // arcs)).cast("int")
     firsts = points.groupBy(arc("position").alias("arc")).agg(F.min(F.struct("position", "peer")).alias("first"))
     # at most arcs rows, so one ordered list of them is small
     table = firsts.agg(F.array_sort(F.collect_list(F.struct("arc", "first"))).alias("ring"))
-    at = tasks.select(task, ring(F.col(task)).alias("p")).withColumn("arc", arc("p"))
-    own = points.select(F.col("position").alias("q"), F.col("peer").alias("own_peer"), arc("position").alias("arc2"))
-    near = at.join(own, (at["arc"] == own["arc2"]) & (own["q"] >= at["p"]), "left").groupBy(task, "p", "arc").agg(F.min_by("own_peer", "q").alias("peer"))
+    asked = tasks.select(task).distinct().select(task, ring(F.col(task)).alias("p"), F.lit(True).alias("__asks"), F.lit(None).cast(points.schema["peer"].dataType).alias("__peer"))
+    held = points.select(F.lit(None).cast(tasks.schema[task].dataType).alias(task), F.col("position").alias("p"), F.lit(False).alias("__asks"), F.col("peer").alias("__peer"))
+    above = Window.partitionBy("arc").orderBy(F.col("p").desc(), "__asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = asked.unionByName(held).withColumn("arc", arc("p")).withColumn("near", F.last("__peer", ignorenulls=True).over(above)).filter("__asks")
     after = F.filter("ring", lambda x: x["arc"] > F.col("arc"))
     wrap = F.when(F.size(after) > 0, F.get(after, F.lit(0))["first"]["peer"]).otherwise(F.get("ring", F.lit(0))["first"]["peer"])
-    return near.join(F.broadcast(table)).select(task, F.coalesce("peer", wrap).alias("peer"))
+    return near.join(F.broadcast(table)).select(task, F.coalesce("near", wrap).alias("peer"))
 
 
 def winners(claims: DataFrame, present: DataFrame, task: str = "task") -> DataFrame:
