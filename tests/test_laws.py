@@ -109,6 +109,17 @@ def test_ring_owners_broadcast_no_points(spark):
     assert plan.count("BroadcastExchange") == 1 and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
 
 
+def test_ring_successor_takes_over_what_a_gone_peer_held(spark):
+    points = spark.createDataFrame([(H.ring_position("t3"), "on the task"), (H.ring_position("t3") + 1, "behind it"), (5, "low")], "position long, peer string")
+    ring = sorted((r["position"], r["peer"]) for r in points.collect())
+    tasks = spark.createDataFrame([(f"t{i}",) for i in range(50)] * 2, "task string")  # a task asked twice has one owner
+    for gone in (None, "on the task", "low"):
+        left = [(a, b) for a, b in ring if b != gone]
+        got = P.owners(tasks, points.filter(F.col("peer") != (gone or "")))
+        assert rows(got) == sorted((t, next((b for a, b in left if a >= H.ring_position(t)), left[0][1])) for t in (f"t{i}" for i in range(50)))
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_affinity_negation_of_missing_attribute(spark):
     caps = spark.createDataFrame([("a", ["gpu"], {"z": "1"})], "peer string, tokens array<string>, attrs map<string,string>")
     peers = spark.createDataFrame([("a",), ("b",)], "peer string")
