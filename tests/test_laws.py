@@ -320,6 +320,23 @@ def test_tree_compaction_keeps_every_parent(spark):
     assert rows(Q.tree_compactable(moves, part, whole, whole)) == [] and rows(Q.tree_compactable(moves, whole, whole, part)) == []
 
 
+def test_tree_compaction_sees_whole_trees_when_a_join_turns_to_a_broadcast(spark):
+    # joins are planned by a shuffle and broadcast at run time, which leaves the other side's rows where they lie
+    moves = [m for i in range(8) for m in ((f"t{i}", 1, "a", 1, "x", "root", "X"), (f"t{i}", 3, "b", 1, "x", "y", None), (f"t{i}", 4, "c", 1, "x", "root", None))]
+    held = spark.createDataFrame(moves, MOVE)
+    whole = spark.createDataFrame([(f"t{i}", r, 9) for i in range(8) for r in "abc"], "tree string, replica string, upto long")
+    spread = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    coming = spark.createDataFrame([("t7", "d", 1)], "tree string, replica string, upto long")  # an op of t7 that has not come
+    try:
+        for k, v in spread.items():
+            spark.conf.set(k, v)
+        got = Q.tree_compactable(held.repartition(8, "ts"), whole, whole.unionByName(coming), whole)
+        assert rows(got) == [(f"t{i}", "b", 1) for i in range(7)]
+    finally:
+        for k in spread:
+            spark.conf.unset(k)
+
+
 def test_tree_predicates_over_unknown_parents(spark):
     placed = spark.createDataFrame([("t", "a", "root"), ("t", "b", "a"), ("t", "c", "lost"), ("t", "d", "c")], "tree string, node string, parent string")
     spans = Q.tree_spans(placed, "root")

@@ -12,6 +12,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidefold.sources.staging import together
+
 
 class Session:
     """One session's fold. apply(state, action) gives the next state and changes none."""
@@ -80,5 +82,5 @@ def speculate(events: DataFrame, start, apply: Callable, state: str = "long") ->
             yield pd.DataFrame([told(key, now)], columns=names)
 
     kind = events.schema["session"].dataType.simpleString()
-    dealt = events.select("session", "idx", "kind", "client", "request", "action").filter("session is not null").repartition("session").sortWithinPartitions("session", "idx")
+    dealt = together(events.select("session", "idx", "kind", "client", "request", "action").filter("session is not null"), "session", "idx")
     return dealt.mapInPandas(run, f"session {kind}, authoritative {state}, speculative {state}, pending long, confirmed long")

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tidefold/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def together(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """df with all rows of a key in one partition, sorted by key and order, for functions that stream over partitions.
+
+    Dealt by a hash of the key, not the key: Spark leaves out a repartition by columns that a join below has dealt by, and
+    adaptive execution may then broadcast that join and read its shuffle as it lies, with a key's rows in several partitions.
+    """
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)
