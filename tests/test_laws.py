@@ -270,6 +270,18 @@ def test_speculation(spark):
     assert X.speculate(events.limit(0), 0, lambda a, b: a + b).count() == 0
 
 
+def test_commits_of_others_do_not_replay_what_is_pending():
+    calls = []
+    s = X.Session(0, lambda a, b: calls.append(b) or a + b)
+    for i in range(300):
+        s.take("propose", i)
+        s.take("commit", -1, "other", i)
+    assert (s.sure, s.shown, len(s.pending)) == (-300, sum(range(300)) - 300, 300) and len(calls) <= 3 * 300
+    s.take("fail", None)
+    s.take("propose", 7)
+    assert s.shown == sum(range(299)) - 300 + 7
+
+
 def test_spending_rolls_up_any_depth_and_a_cycle_is_an_error(spark):
     for depth in (1, 20, 100):
         edges = spark.createDataFrame([(f"e{i}", f"g{i}", f"g{i + 1}") for i in range(depth)], "edge string, parent string, child string")

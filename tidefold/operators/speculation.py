@@ -16,28 +16,38 @@ from tidefold.sources.staging import together
 
 
 class Session:
-    """One session's fold. apply(state, action) gives the next state and changes none."""
+    """One session's fold. apply(state, action) gives the next state and changes none.
+
+    The shown state is worked out when read: a commit that is not ours makes every pending action apply anew, and doing
+    so at each such commit costs the square of a session's length.
+    """
 
     def __init__(self, start, apply: Callable):
-        self.sure = self.shown = start
+        self.sure = self._shown = start
+        self.stale = False
         self.apply, self.pending, self.confirmed, self.marks = apply, deque(), 0, {}
 
-    def _replay(self) -> None:
-        self.shown = self.sure
-        for action in self.pending:
-            self.shown = self.apply(self.shown, action)
+    @property
+    def shown(self):
+        if self.stale:
+            self._shown, self.stale = self.sure, False
+            for action in self.pending:
+                self._shown = self.apply(self._shown, action)
+        return self._shown
 
     def take(self, kind: str, action, client=None, request=None) -> None:
         if kind == "propose":
             self.pending.append(action)
-            self.shown = self.apply(self.shown, action)
+            if not self.stale:
+                self._shown = self.apply(self._shown, action)
         elif kind == "fail":  # the newest proposal did not get through
             if self.pending:
                 self.pending.pop()
-            self._replay()
+            self.stale = True
         elif kind == "reset":  # action is a state to start from again; what was pending is void
             self.pending.clear()
-            self.sure = self.shown = action
+            self.sure = self._shown = action
+            self.stale = False
             self.confirmed += 1
         elif kind == "commit":
             self.confirmed += 1
@@ -50,7 +60,7 @@ class Session:
             if fresh:
                 self.sure = self.apply(self.sure, action)
             if not ours and fresh or ours and not fresh:
-                self._replay()
+                self.stale = True
         else:
             raise ValueError(f"unknown event {kind!r}")
 
