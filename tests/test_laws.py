@@ -282,6 +282,27 @@ def test_commits_of_others_do_not_replay_what_is_pending():
     assert s.shown == sum(range(299)) - 300 + 7
 
 
+def test_turns_of_many_installs_need_no_list_of_them(spark):
+    from tidefold.operators import stamps as S
+
+    rng = random.Random(5)
+    log = [(i * i * 1000 - 10**6, rng.choice(["install", "entry", "entry", "entry", "internal"]), rng.choice([None, 1, 2, 3]), rng.randrange(9), "x") for i in range(500)]
+    want, served = [], {}
+    for idx, kind, client, request, action in log:
+        if kind == "install":
+            served = {}
+            want.append((idx, "Reset", action, True))
+        elif kind == "entry":
+            applied = client is None or request > served.get(client, -1)
+            if client is not None:
+                served[client] = max(request, served.get(client, -1))
+            want.append((idx, "Committed", action, applied))
+    got = S.turn_events(spark.createDataFrame(log, "idx long, kind string, client long, request_id long, action string").repartition(5))
+    assert [tuple(r) for r in got.collect()] == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+
+
 def test_spending_rolls_up_any_depth_and_a_cycle_is_an_error(spark):
     for depth in (1, 20, 100):
         edges = spark.createDataFrame([(f"e{i}", f"g{i}", f"g{i + 1}") for i in range(depth)], "edge string, parent string, child string")
