@@ -1,6 +1,7 @@
 """Every query with SQL gives the same rows as DuckDB on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -39,6 +40,14 @@ def test_query(spark, con, name):
     assert rows == sorted((tuple(norm(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
 
 
+def test_ring_successor_sends_one_row_through_the_driver(spark):
+    df = catalogue.queries()["j7_ring_successor"](spark, DATA)
+    assert df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()  # as it ran and as it was planned
+    sent = re.findall(r"BroadcastExchange [^\n]*\n\W*([^\n]*)", plan)
+    assert sent and all(re.match(r"(\*\(\d+\) )?ObjectHashAggregate\(keys=\[\],", x) for x in sent), sent
+
+
 def test_pull_takes_the_whole_log(spark):
     events = spark.read.parquet(f"{DATA}/events.parquet").select("user_id", "ts", "event_id").collect()
     want, at = [], {}
